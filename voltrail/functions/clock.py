@@ -17,7 +17,8 @@ def duration_seconds(text: Column) -> Column:
     for part, units in parts:
         for letter, seconds in units.items():
             number = F.regexp_extract(part, rf"([0-9.]+){letter}", 1).try_cast("double")
-            total = total + F.coalesce(number * seconds, F.lit(0.0))
+            present = F.contains(part, F.lit(letter))  # spares most rows most patterns
+            total = total + F.coalesce(F.when(present, number * seconds), F.lit(0.0))
     return F.when(text.isNotNull(), total).cast("float")
 
 

@@ -15,8 +15,8 @@ def only_vehicles(df: DataFrame, vehicles: DataFrame) -> DataFrame:
 def equipped(vehicles: DataFrame, positions: DataFrame, labels: DataFrame, characteristic: str, value: str) -> DataFrame:
     """Vehicles whose code holds ``value`` for one characteristic, with its label for their family."""
     chosen = positions.filter(F.col("characteristic") == characteristic)
-    where = chosen.agg(F.min("position").alias("_position"))  # one row
-    decoded = vehicles.join(F.broadcast(where)).withColumn("value", slot_value(F.col("code"), F.col("_position")))
+    where = chosen.agg(F.min("position")).scalar()
+    decoded = vehicles.withColumn("_position", where).withColumn("value", slot_value(F.col("code"), F.col("_position")))
     decoded = decoded.filter(F.col("value") == value).withColumn("index", slot_index(F.col("code"), F.col("_position")))
     names = labels.filter(F.col("characteristic") == characteristic).select("value", "family", "designation")
     return decoded.drop("_position").join(names, ["value", "family"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltrail.functions import battery as B
 from voltrail.functions.clock import seconds_between
 from voltrail.operators.battery_log import ORDER
-from voltrail.operators.series import LongSeries, as_series, carry
+from voltrail.operators.series import Carried, LongSeries, as_series, carry
 from voltrail.schemas import CHARGE_STATUS_COLUMNS
 
 IN_PROGRESS = 1
@@ -53,9 +53,10 @@ def pair_events(events: DataFrame, keys: Sequence[str] = ("vehicle",), long: Lon
     side = F.struct(*[c for c in SIDE_COLUMNS], "vtype")
     is_plug = F.col("event") == "plug"
     series = as_series(events, keys, ORDER, long)
-    series = carry(series, "_start", F.when(is_plug, side))
-    series = carry(series, "_next_plug", F.when(is_plug, F.col("msg")), backward=True, include_self=False)
-    series = carry(series, "_next_event", F.col("event"), backward=True, include_self=False)
+    series = carry(series, {
+        "_start": Carried(F.when(is_plug, side)),
+        "_next_plug": Carried(F.when(is_plug, F.col("msg")), backward=True, include_self=False),
+        "_next_event": Carried(F.col("event"), backward=True, include_self=False)})
     rows = series.own_rows()
     lonely = is_plug & ~F.col("_next_event").eqNullSafe("unplug")
     rows = rows.filter(~is_plug | lonely).withColumn("_stop", F.when(~is_plug, side))
@@ -109,8 +110,8 @@ def group_charges(charges: DataFrame, keys: Sequence[str] = ("vehicle",), long:
                                     empty_start.alias("_start"), F.struct(*stop).alias("_stop")))))
     series = as_series(charges.select(*keys, F.inline(marks)), keys, ("_at", "_kind"), long)
     begins = F.col("_kind") == 0
-    series = carry(series, "_open", F.col("_start"))
-    series = carry(series, "_next", F.when(begins, F.col("_at")), backward=True, include_self=False)
+    series = carry(series, {"_open": Carried(F.col("_start")),
+                            "_next": Carried(F.when(begins, F.col("_at")), backward=True, include_self=False)})
     rows = series.own_rows().filter(~begins & F.col("_open").isNotNull() & (F.col("_open.msg_start") < F.col("_at")))
     rows = rows.select(F.col("_open.vtype").alias("vtype"), *keys, *[F.col(f"_open.{c}").alias(c) for c in start],
                        F.col("_next").alias("next_msg_start"), *[F.col(f"_stop.{c}").alias(c) for c in stop])

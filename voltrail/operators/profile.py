@@ -1,4 +1,8 @@
-"""Statistics over charge tables."""
+"""Statistics over charge tables.
+
+Groups are labels such as the method. Their summaries are written as tables before they are joined back, so
+Spark knows their size: a small one is broadcast, a large one is not.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voltrail.session import stage
+
 BUCKETS = 4096
 
 
@@ -20,7 +26,7 @@ def exact_quantiles(df: DataFrame, value: str, group: str, probabilities: Sequen
     span = counts.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS))
-    placed = counts.join(F.broadcast(span), group).withColumn("_bucket", bucket.cast("long"))
+    placed = counts.join(stage(span), group).withColumn("_bucket", bucket.cast("long"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(group, "_bucket").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_in").over(before), F.lit(0)))
@@ -31,7 +37,7 @@ def exact_quantiles(df: DataFrame, value: str, group: str, probabilities: Sequen
     ranks = ranks.filter(((low >= F.col("_ahead")) & (low < end)) | ((high >= F.col("_ahead")) & (high < end)))
     ranks = ranks.select(group, "_bucket", "_ahead", "_p", "_rank")
     inside = Window.partitionBy(group, "_bucket", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.join(F.broadcast(ranks), [group, "_bucket"])
+    found = placed.join(stage(ranks), [group, "_bucket"])
     found = found.withColumn("_last", F.col("_ahead") + F.sum("_n").over(inside) - 1)
     found = found.withColumn("_first", F.col("_last") - F.col("_n") + 1)
 
@@ -69,22 +75,21 @@ def vehicle_counts(df: DataFrame, group: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, group: str, bins: int) -> DataFrame:
     """Counts in equal bins over the range of all groups; the last bin includes its end."""
     known = df.filter(F.col(value).isNotNull())
-    span = known.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    index = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
-        F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width)))
-    placed = known.select(group, value).join(F.broadcast(span)).withColumn("bin", index.cast("long"))
-    return placed.groupBy(group, "bin").agg(
-        F.count("*").alias("n"), F.min(F.col("_lo") + F.col("bin") * width).alias("bin_start"))
+    span = known.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("span"))
+    low, high = F.col("_span.lo"), F.col("_span.hi")
+    width = (high - low) / bins
+    index = F.when(high == low, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / width)))
+    placed = known.select(group, value, span.scalar().alias("_span")).withColumn("bin", index.cast("long"))
+    return placed.groupBy(group, "bin").agg(F.count("*").alias("n"), F.min(low + F.col("bin") * width).alias("bin_start"))
 
 
 def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 times their distance, and the number of points beyond."""
-    quartiles = exact_quantiles(df, value, group, (0.25, 0.5, 0.75))  # one row per group
+    quartiles = stage(exact_quantiles(df, value, group, (0.25, 0.5, 0.75)))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     low, high = F.col("q25") - reach, F.col("q75") + reach
     inside = F.col(value).between(low, high)
-    joined = df.filter(F.col(value).isNotNull()).select(group, value).join(F.broadcast(quartiles), group)
+    joined = df.filter(F.col(value).isNotNull()).select(group, value).join(quartiles, group)
     return joined.groupBy(group, "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.count(F.when(~inside, 1)).alias("fliers"), F.count("*").alias("n"))
@@ -92,15 +97,15 @@ def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def outside_quartiles(df: DataFrame, value: str, group: str) -> DataFrame:
     """Rows below the first or above the third quartile; ``is_largest`` marks the greatest of each group."""
-    quartiles = exact_quantiles(df, value, group, (0.25, 0.75))
-    outside = df.join(F.broadcast(quartiles), group).filter((F.col(value) < F.col("q25")) | (F.col(value) > F.col("q75")))
+    quartiles = stage(exact_quantiles(df, value, group, (0.25, 0.75)))
+    outside = df.join(quartiles, group).filter((F.col(value) < F.col("q25")) | (F.col(value) > F.col("q75")))
     top = outside.groupBy(group).agg(F.max(value).alias("_top"))
-    return outside.join(F.broadcast(top), group).withColumn("is_largest", F.col(value) == F.col("_top")).drop("_top", "q25", "q75")
+    return outside.join(stage(top), group).withColumn("is_largest", F.col(value) == F.col("_top")).drop("_top", "q25", "q75")
 
 
 def start_probability(df: DataFrame, group: str) -> DataFrame:
     """Each row with the share of its group's rows that start at the same instant."""
     same = df.groupBy(group, "start").agg(F.count("*").alias("_n"))
     total = same.groupBy(group).agg(F.sum("_n").alias("_total"))
-    share = same.join(F.broadcast(total), group).select(group, "start", (F.col("_n") / F.col("_total")).alias("probability"))
+    share = same.join(stage(total), group).select(group, "start", (F.col("_n") / F.col("_total")).alias("probability"))
     return df.join(share, [group, "start"])

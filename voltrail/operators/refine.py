@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltrail.functions.clock import hours_between
 from voltrail.operators.dedup import first_per_key, number_globally
 from voltrail.operators.intervals import points_inside
-from voltrail.operators.series import LongSeries, as_series, carry
+from voltrail.operators.series import Carried, LongSeries, as_series, carry
 
 # Charge status codes.
 STATUS_NAMES = {0: "no_charging", 1: "ongoing", 2: "failure", 3: "remote", 4: "finished"}
@@ -59,7 +59,7 @@ def status_asof(charges: DataFrame, statuses: DataFrame, long: LongSeries | None
     rows = statuses.select("vehicle", "ts", F.lit(1).alias("_kind"), "msg", F.col("status").cast("int").alias("status"))
     merged = rows.unionByName(marker, allowMissingColumns=True).withColumn("_begun", F.col("_charge.charge_start"))
     series = as_series(merged, ("vehicle",), ("ts", "_kind", "_begun", "msg"), long, after=1)
-    series = carry(series, "_open", F.col("_charge"))
+    series = carry(series, {"_open": Carried(F.col("_charge"))})
     by = series.window()
     following = F.when(F.lead("_kind").over(by) == 1, F.lead("status").over(by))
     merged = series.with_columns({"next_status": following}).own_rows().filter("_kind = 1")

@@ -15,6 +15,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from voltrail.session import stage
+
 MAX_ROWS_SETTING = "spark.voltrail.series.maxRows"
 MAX_ROWS = 2_000_000
 MAX_LONG = 20_000  # long series listed at most; the rest hold under 1/20,000 of the rows each
@@ -112,6 +114,7 @@ def as_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], long: Lo
         return Series(df, keys, order)
     if long.size < max(before, after, 1):
         raise ValueError("pieces must not be shorter than the rows copied over a cut")
+    df = stage(df, "long-series")  # read several times below and in carry()
     slot = F.floor((_position(df, order[0]) - F.col("_lo")) / F.col("_width")).cast("long")
     slotted = (df.join(F.broadcast(long.frame), list(long.keys))
                  .withColumn("_slot", F.coalesce(slot, F.lit(-(2 ** 40)))).drop("_lo", "_width"))
@@ -132,21 +135,38 @@ def as_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], long: Lo
     return Series(ranked.select("*", F.inline(copies)), keys, order, long)
 
 
-def carry(series: Series, name: str, value: Column, backward: bool = False, include_self: bool = True) -> Series:
-    """The last non-null ``value`` at or before each row (``backward``: the next one at or after it)."""
-    reach = series.window(backward).rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
-    rows = series.rows.withColumn(name, F.last(value, ignorenulls=True).over(reach))
-    if series.long:
-        piece = [*series.keys, "_piece"]
-        place = F.when(value.isNotNull(), F.struct(*series.order))
-        edge = F.min_by(value, place) if backward else F.max_by(value, place)
-        edges = series.rows.filter("_own").groupBy(*piece).agg(edge.alias("_edge"))
-        order = F.col("_piece").desc() if backward else F.col("_piece").asc()
+@dataclass(frozen=True)
+class Carried:
+    """A non-null value brought along the series: from before a row, or backward from after it."""
+
+    value: Column
+    backward: bool = False
+    include_self: bool = True
+
+
+def carry(series: Series, values: dict[str, Carried]) -> Series:
+    """Add for each name the last non-null value at or before each row (or the next one after it).
+
+    All names share one row per piece that takes their values over the cuts.
+    """
+    def reach(item: Carried) -> WindowSpec:
+        return series.window(item.backward).rowsBetween(Window.unboundedPreceding, 0 if item.include_self else -1)
+
+    rows = series.rows.withColumns({n: F.last(v.value, ignorenulls=True).over(reach(v)) for n, v in values.items()})
+    if series.long is None:
+        return replace(series, rows=rows)
+    piece = [*series.keys, "_piece"]
+    edges, carried = [], []
+    for name, item in values.items():
+        place = F.when(item.value.isNotNull(), F.struct(*series.order))
+        edges.append((F.min_by if item.backward else F.max_by)(item.value, place).alias(f"_edge_{name}"))
+        order = F.col("_piece").desc() if item.backward else F.col("_piece").asc()
         earlier = Window.partitionBy(*series.keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        edges = edges.select(*piece, F.last("_edge", ignorenulls=True).over(earlier).alias("_carried"))
-        rows = (rows.join(edges, piece, "left")
-                    .withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried"))
-    return replace(series, rows=rows)
+        carried.append(F.last(f"_edge_{name}", ignorenulls=True).over(earlier).alias(f"_carried_{name}"))
+    taken = series.rows.filter("_own").groupBy(*piece).agg(*edges).select(*piece, *carried)
+    rows = rows.join(taken, piece, "left")
+    rows = rows.withColumns({n: F.coalesce(F.col(n), F.col(f"_carried_{n}")) for n in values})
+    return replace(series, rows=rows.drop(*[f"_carried_{n}" for n in values]))
 
 
 def running_total(series: Series, name: str, value: Column) -> Series:

@@ -20,8 +20,8 @@ from voltrail.sources import readers, sinks, testviews as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DAY = F.lit(date(2024, 1, 1))
-LAST_DAY = F.lit(date(2024, 1, 29))
+DAY = date(2024, 1, 1)
+LAST_DAY = date(2024, 1, 29)
 FIRST_WINDOW, END_WINDOW = date(2024, 1, 1), date(2024, 1, 31)
 SECRET = "not-a-real-secret"
 CLOCKS = ("ts", "received", "satellite")
@@ -77,7 +77,7 @@ def _common(spark, folder):
 
 
 def _stacked(spark, folder):
-    return compare.stacked(*_common(spark, folder))
+    return compare.stacked(*_common(spark, folder))  # both sides are written tables
 
 
 SERIES_NAMES = ("session", "msg", "time")

@@ -14,7 +14,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.plans import status_method
-from voltrail.session import cut_lineage, scratch_path
+from voltrail.session import scratch_path, stage
 from voltrail.sources.sinks import overwrite, write_window
 
 WINDOW_KEYS = ("window", "vehicle")
@@ -70,7 +70,7 @@ def in_windows(battery: DataFrame, first: date, end: date) -> DataFrame:
 def all_windows(battery: DataFrame, first: date, end: date) -> DataFrame:
     """New charges of every window in [first, end), as :func:`run_days` would emit them."""
     windows = in_windows(battery, first, end).drop("part")
-    charges = cut_lineage(status_method.charges(windows, F.col("window"), WINDOW_KEYS))
+    charges = stage(status_method.charges(windows, F.col("window"), WINDOW_KEYS))
     new = _new_charges(charges.select(*CHARGE_KEY))
     return charges.join(new, CHARGE_KEY, "left_semi")
 
@@ -85,15 +85,15 @@ def _new_charges(keys: DataFrame) -> DataFrame:
     earlier = keys.select("vehicle", F.date_add("window", 1).alias("window"), F.col("window").alias("_window"),
                           F.col("msg_start").alias("_start"), F.col("msg_stop").alias("_stop"))
     links = keys.join(earlier, ["vehicle", "window"]).filter(_repeats("msg_start", "msg_stop", "_start", "_stop"))
-    links = cut_lineage(links)
+    links = stage(links)
     state = keys.join(links.select(*CHARGE_KEY).distinct().withColumn("_linked", F.lit(True)), CHARGE_KEY, "left")
-    state = cut_lineage(state.select(*CHARGE_KEY, F.when(F.col("_linked").isNull(), True).alias("new")))
+    state = stage(state.select(*CHARGE_KEY, F.when(F.col("_linked").isNull(), True).alias("new")))
     while not state.filter(F.col("new").isNull()).isEmpty():
         known = state.select("vehicle", F.col("window").alias("_window"), F.col("msg_start").alias("_start"),
                              F.col("msg_stop").alias("_stop"), F.col("new").alias("_new"))
         verdict = links.join(known, ["vehicle", "_window", "_start", "_stop"]).groupBy(*CHARGE_KEY).agg(
             F.max(F.coalesce(F.col("_new"), F.lit(False))).alias("_repeated"), F.count("_new").alias("_known"), F.count("*").alias("_n"))
         decided = F.when(F.col("_repeated"), False).when(F.col("_known") == F.col("_n"), True)
-        state = cut_lineage(state.join(verdict, CHARGE_KEY, "left").select(
+        state = stage(state.join(verdict, CHARGE_KEY, "left").select(
             *CHARGE_KEY, F.coalesce(F.col("new"), decided).alias("new")))
     return state.filter("new").select(*CHARGE_KEY)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from voltrail.operators import plugs
 from voltrail.operators.battery_log import recover_soc, settle_soc
@@ -59,24 +60,18 @@ def _sane(rows, keys, long, day):
     return plugs.sane_times(plugs.pair_events(_events(rows, keys, long), keys, long), day)
 
 
-def gaps(battery: DataFrame, day: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+def gaps(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS) -> DataFrame:
     return _run(battery, keys, lambda rows, long: plugs.charge_gaps(_sane(rows, keys, long, day), keys, long))
 
 
-def grouped(battery: DataFrame, day: Column, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
+def grouped(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
     def step(rows, long):
         spaced = plugs.charge_gaps(_sane(rows, keys, long, day), keys, long)
         return plugs.group_charges(spaced, keys, long, stop_gap)
     return _run(battery, keys, step)
 
 
-def charges(battery: DataFrame, day: Column, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
+def charges(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
     """Final charges of one window that starts at ``day``, 28 columns."""
     measured = plugs.charge_indicators(grouped(battery, day, keys, stop_gap))
     return plugs.charge_columns(plugs.plausible_duration(measured), keys)
-
-
-def first_day(battery: DataFrame) -> Column:
-    """The day of the first message, as a scalar that Spark looks up."""
-    day = battery.agg(F.date_trunc("day", F.min("ts")).alias("day"))
-    return F.lit(day.first()["day"])
