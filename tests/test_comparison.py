@@ -143,6 +143,11 @@ def test_anonymised_keeps_column_order(spark):
     frame = spark.createDataFrame([(1, "v", 2)], "a int, vehicle string, b int")
     assert fleet.anonymised(frame, "k").columns == ["a", "pseudonym", "b"]
     assert fleet.anonymised(frame, "k", name="id").columns == ["a", "id", "b"]
+    with pytest.raises(ValueError):
+        fleet.anonymised(frame)
+    spark.conf.set("spark.voltrail.pseudonym.secret", "k")
+    assert fleet.anonymised(frame).collect() == fleet.anonymised(frame, "k").collect()
+    spark.conf.unset("spark.voltrail.pseudonym.secret")
 
 
 def test_family_labels(spark):

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 SECRET_SETTING = "spark.voltrail.pseudonym.secret"
 
 
+def configured_secret(spark: SparkSession) -> str:
+    """The secret of the session's settings; there is no default."""
+    secret = spark.conf.get(SECRET_SETTING, None)
+    if not secret:
+        raise ValueError(f"set {SECRET_SETTING}")
+    return secret
+
+
 def pseudonym(value: Column, secret: str, algorithm: str = "md5") -> Column:
     """Keyed hash of an id; null stays null. ``algorithm`` is md5 or sha2."""
     keyed = F.concat(value.cast("string"), F.lit(secret))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voltrail.functions.codes import pseudonym, slot_index, slot_value
+from voltrail.functions.codes import configured_secret, pseudonym, slot_index, slot_value
 
 
 def only_vehicles(df: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -26,6 +26,10 @@ def family_labels(vehicles: DataFrame, families: DataFrame) -> DataFrame:
     return vehicles.join(families, "family")
 
 
-def anonymised(df: DataFrame, secret: str, column: str = "vehicle", name: str = "pseudonym", algorithm: str = "md5") -> DataFrame:
-    """Replace an id by its keyed hash, at the same place among the columns."""
+def anonymised(df: DataFrame, secret: str | None = None, column: str = "vehicle", name: str = "pseudonym", algorithm: str = "md5") -> DataFrame:
+    """Replace an id by its keyed hash, at the same place among the columns.
+
+    Without ``secret`` the session's setting is used.
+    """
+    secret = secret or configured_secret(df.sparkSession)
     return df.select([pseudonym(F.col(c), secret, algorithm).alias(name) if c == column else F.col(c) for c in df.columns])

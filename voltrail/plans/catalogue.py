@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 # Inputs shared by several queries.
 
 def _battery(spark, folder, compressed=True):
-    return battery_log.unify(V.remote(spark, folder, compressed), V.summary(spark, folder, compressed))
+    return battery_log.unify(*V.battery_messages(spark, folder, compressed))
 
 
 def _status_charges(spark, folder):

@@ -41,20 +41,34 @@ def raw_events(spark: SparkSession, folder: str, compressed: bool = True) -> Dat
         F.when(_divisible(2), "carcom").otherwise("carbide").alias("collector"))
 
 
+def battery_messages(spark: SparkSession, folder: str, compressed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Messages 68 and 79 over one reading of the events."""
+    rows = raw_events(spark, folder, compressed)
+    return _remote(rows), _summary(rows)
+
+
 def remote(spark: SparkSession, folder: str, compressed: bool = True) -> DataFrame:
+    return _remote(raw_events(spark, folder, compressed))
+
+
+def summary(spark: SparkSession, folder: str, compressed: bool = True) -> DataFrame:
+    return _summary(raw_events(spark, folder, compressed))
+
+
+def _remote(events: DataFrame) -> DataFrame:
     """Messages 68: the even events."""
     level = F.when(_divisible(17), 127).when(~_divisible(23), F.floor("value") % 101)
-    rows = raw_events(spark, folder, compressed).filter(_divisible(2))
-    return rows.select("vehicle", "session", "msg", "ts", "session_clock", "vtype",
-                       level.cast("long").alias("load_level"), "charge_mode", "status", "collector")
+    return events.filter(_divisible(2)).select(
+        "vehicle", "session", "msg", "ts", "session_clock", "vtype",
+        level.cast("long").alias("load_level"), "charge_mode", "status", "collector")
 
 
-def summary(spark: SparkSession, folder: str, compressed: bool = True) -> DataFrame:
+def _summary(events: DataFrame) -> DataFrame:
     """Messages 79: the odd events."""
     soc = F.when(_divisible(17), 102.2).when(~_divisible(23), F.col("value") - 101 * F.floor(F.col("value") / 101))
-    rows = raw_events(spark, folder, compressed).filter(~_divisible(2))
-    return rows.select("vehicle", "session", "msg", "ts", "session_clock", "vtype",
-                       soc.cast("double").alias("summary_soc"), "charge_mode", "status", "collector")
+    return events.filter(~_divisible(2)).select(
+        "vehicle", "session", "msg", "ts", "session_clock", "vtype",
+        soc.cast("double").alias("summary_soc"), "charge_mode", "status", "collector")
 
 
 def statuses(spark: SparkSession, folder: str) -> DataFrame:
