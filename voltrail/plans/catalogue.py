@@ -7,6 +7,7 @@ so that they can be compared with another engine's.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ from voltrail.functions import battery as B
 from voltrail.functions.clock import duration_seconds, near_midnight, near_midnight_exact
 from voltrail.operators import audit, battery_log, compare, dedup, event_series, fleet, plugs, profile, refine, slope
 from voltrail.plans import rolling, slope_method as L, status_method as S
-from voltrail.session import scratch_path, stage
+from voltrail.session import scratch_path, shared_folder, stage
 from voltrail.sources import readers, sinks, testviews as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +73,12 @@ def _enriched(spark, folder):
 
 
 def _common(spark, folder):
-    return (compare.common_status(stage(_status_charges(spark, folder))),
-            compare.common_slope(stage(_enriched(spark, folder))))
+    """Both methods as written tables; the two chains of jobs do not wait for each other."""
+    shared_folder(spark)
+    with ThreadPoolExecutor(1) as beside:
+        status = beside.submit(lambda: stage(_status_charges(spark, folder)))
+        slope = stage(_enriched(spark, folder))
+        return compare.common_status(status.result()), compare.common_slope(slope)
 
 
 def _stacked(spark, folder):
