@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from voltrail.operators.dedup import dedup_messages
 
 MAX_LITERAL_IDS = 1000
-COLLECTORS = ("carcom", "carbide")
+COLLECTORS = ("carcom", "carbide")  # fixed values of the telemetry platform
 
 
 def read_messages(spark: SparkSession, root: str, kind: int, first: date, last: date,
