@@ -67,3 +67,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     smaller = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return smaller.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 500_000, name: str = "side") -> DataFrame:
+    """Written rows of `df`, to be broadcast by the next join if they are counted to be few; else that join shuffles."""
+    df = stage(df, name)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def row_key(id_column: str, text_column: str) -> Column:
+    """Identity of a row: its id and its text. Rows that agree in both are treated alike by every operator."""
+    return F.struct(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"),
+                    F.length(text_column).alias("chars"))

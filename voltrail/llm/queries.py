@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from voltrail.llm import covering_simhash, decontaminate, packing, secret_ledger
 from voltrail.llm.common import table
-from voltrail.llm import covering_simhash, packing
+from voltrail.session import stage
+
+
+def op3_decontamination(spark, folder):
+    docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    return decontaminate.contaminated(docs, items).drop("key")
+
+
+def op7_secrets(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = secret_ledger.by_path(docs, stage(secret_ledger.scan(docs), "ledger"))
+    count = lambda rule: F.size(F.filter("findings", lambda f: f["rule"] == rule)).cast("long").alias(f"n_{rule}")
+    base = F.filter("findings", lambda f: f["rule"].isin(*secret_ledger.BASE))
+    return found.select("doc_id", *[count(r) for r in secret_ledger.BASE],
+                        F.sha2(secret_ledger.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_ledger.listed("findings").alias("spans"))
 
 
 def op8_packing(spark, folder):
@@ -16,7 +34,7 @@ def op9_simhash(spark, folder):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op3_decontamination, op7_secrets, op8_packing, op9_simhash)}
 
 
 def statements():
