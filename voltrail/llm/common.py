@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.session import stage
@@ -11,8 +15,21 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application."""
+    if not getattr(spark.sparkContext, "_voltrail_shipped", False):
+        top = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="voltrail-")) / "voltrail.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted((top / "voltrail").rglob("*.py")):
+                z.write(source, source.relative_to(top))
+        spark.sparkContext.addPyFile(str(archive))
+        spark.sparkContext._voltrail_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns)
+    return ship(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns)
 
 
 def remainder(doc_id: str | Column, divisor: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, secret_ledger
+from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, secret_ledger, window_dedup
 from voltrail.llm.common import table
 from voltrail.session import stage
 
@@ -19,6 +19,11 @@ def op3_decontamination(spark, folder):
     return decontaminate.contaminated(docs, items).drop("key")
 
 
+def op5_windows(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return window_dedup.deduplicated(docs).drop("kept")
+
+
 def op7_secrets(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
     found = secret_ledger.by_path(docs, stage(secret_ledger.scan(docs), "ledger"))
@@ -39,7 +44,7 @@ def op9_simhash(spark, folder):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op2_neighbours, op3_decontamination, op7_secrets, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash)}
 
 
 def statements():
