@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voltrail.session import stage
 
@@ -96,3 +96,18 @@ def row_key(id_column: str, text_column: str) -> Column:
     """Identity of a row: its id and its text. Rows that agree in both are treated alike by every operator."""
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"),
                     F.length(text_column).alias("chars"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """Up to `per_class` labelled rows of each class 0 and 1, as a written table (id, text, y).
+
+    `learn` (over the id column of `docs`) says which rows may be used. Rows are taken in order of a hash of their id, so a
+    repeated run takes the same. An id with several labels has the larger one; of repeated rows one text is taken.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("y"))
+    ids = docs.filter(learn).select(id_column).distinct().join(known, id_column)
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_column), id_column))
+    chosen = stage(ids.withColumn("rank", rank).filter(F.col("rank") <= per_class).select(F.col(id_column).alias("id"), "y"), "chosen")
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return stage(texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, secret_ledger, window_dedup
-from voltrail.llm.common import table
+from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, secret_ledger, toxicity, window_dedup
+from voltrail.llm.common import held_out, table
 from voltrail.session import stage
 
 
+def op1_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
+    out = held_out("doc_id", 5, 0)
+    return toxicity.scored(docs, toxicity.fit(docs, labels, "toxic", ~out)).select(
+        "doc_id", out.alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity.neighbours").alias("neighbours"), F.col("toxicity.similarities").alias("similarities"))
+
+
 def op2_neighbours(spark, folder):
     rows = table(spark, folder, "embeddings", "vec_id", "embedding")
     return hnsw.search(hnsw.build_index(rows), rows.filter("vec_id % 20 = 0"), k=20)
@@ -44,7 +52,7 @@ def op9_simhash(spark, folder):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash)}
 
 
 def statements():
