@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, secret_ledger, toxicity, window_dedup
+from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, quality, secret_ledger, toxicity, window_dedup
 from voltrail.llm.common import held_out, table
 from voltrail.session import stage
 
@@ -51,8 +51,16 @@ def op9_simhash(spark, folder):
     return covering_simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
+    out = held_out("doc_id", 4, 2)
+    return quality.scored(docs, quality.fit(docs, labels, "quality", ~out), to="score").select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash,
+                                    op10_quality)}
 
 
 def statements():
