@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, packing, quality, secret_ledger, toxicity, window_dedup
+from voltrail.llm import covering_simhash, decontaminate, hnsw, language_spans, packing, quality, secret_ledger, toxicity, window_dedup
 from voltrail.llm.common import held_out, table
 from voltrail.session import stage
 
@@ -32,6 +32,14 @@ def op5_windows(spark, folder):
     return window_dedup.deduplicated(docs).drop("kept")
 
 
+def op6_language(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    out = held_out("doc_id", 5, 0)
+    found = language_spans.labelled(docs.select("doc_id", "text"), language_spans.fit(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+                        F.size("language.spans").alias("n_spans"))
+
+
 def op7_secrets(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
     found = secret_ledger.by_path(docs, stage(secret_ledger.scan(docs), "ledger"))
@@ -59,7 +67,7 @@ def op10_quality(spark, folder):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op7_secrets, op8_packing, op9_simhash,
+    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
                                     op10_quality)}
 
 
