@@ -98,6 +98,19 @@ def row_key(id_column: str, text_column: str) -> Column:
                     F.length(text_column).alias("chars"))
 
 
+def bounded_sample(ids: DataFrame, group: str, id_column: str, most: int) -> DataFrame:
+    """Up to `most` rows (group, id) of each group, in order of a hash of the id, as a written table.
+
+    Groups are first thinned by hash to slightly more than `most` rows, so that no task ranks a whole group.
+    There must be few groups: their counts are broadcast.
+    """
+    counts = F.broadcast(ids.groupBy(group).agg(F.count("*").alias("rows_")))
+    place = F.xxhash64(id_column)
+    near = F.pmod(place, F.lit(1 << 31)) < (1 << 31) * (1.2 * most + 100) / F.col("rows_")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(place, F.lit(1 << 31)), id_column))
+    return stage(ids.join(counts, group).filter(near).withColumn("rank_", rank).filter(F.col("rank_") <= most).select(group, id_column), "chosen")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """Up to `per_class` labelled rows of each class 0 and 1, as a written table (id, text, y).
@@ -107,7 +120,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("y"))
     ids = docs.filter(learn).select(id_column).distinct().join(known, id_column)
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(id_column), id_column))
-    chosen = stage(ids.withColumn("rank", rank).filter(F.col("rank") <= per_class).select(F.col(id_column).alias("id"), "y"), "chosen")
+    chosen = bounded_sample(ids, "y", id_column, per_class).withColumnRenamed(id_column, "id")
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return stage(texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")

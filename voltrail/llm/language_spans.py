@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from voltrail.session import stage
+from voltrail.llm.common import bounded_sample
 
 PER_LANGUAGE = 1500
 BUCKETS = 1 << 14
@@ -170,9 +170,7 @@ def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column:
         per_language: int = PER_LANGUAGE) -> Model:
     """A model from at most `per_language` texts of each language (in order of a hash of the id)."""
     usable = docs.filter(learn & F.col(id_column).isNotNull() & F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang_column).orderBy(F.xxhash64(id_column), id_column))
-    chosen = stage(usable.select(id_column, lang_column).distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language)
-                   .select(id_column, lang_column), "chosen")
+    chosen = F.broadcast(bounded_sample(usable.select(id_column, lang_column).distinct(), lang_column, id_column, per_language))
     sample = usable.select(id_column, text_column, lang_column).join(chosen, [id_column, lang_column], "left_semi").select(
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
 
