@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, language_spans, packing, quality, secret_ledger, toxicity, window_dedup
-from voltrail.llm.common import held_out, table
+from voltrail.llm import covering_simhash, decontaminate, hnsw, language_spans, packing, partial_matching, quality, secret_ledger, toxicity, window_dedup
+from voltrail.llm.common import held_out, ship, table
 from voltrail.session import stage
 
+#: Neighbouring rows of a file that op4 scores together.
+ROWS_TOGETHER = 8192
+
 
 def op1_toxicity(spark, folder):
     docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
@@ -27,6 +30,14 @@ def op3_decontamination(spark, folder):
     return decontaminate.contaminated(docs, items).drop("key")
 
 
+def op4_language_model(spark, folder):
+    docs = ship(spark).read.parquet(f"{folder.rstrip('/')}/documents.parquet").select(
+        "doc_id", "text", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / ROWS_TOGETHER)).alias("block"))
+    out = held_out("doc_id", 7, 2)
+    scores = partial_matching.score(docs, ~out, block=F.col("block"))
+    return scores.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op5_windows(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
     return window_dedup.deduplicated(docs).drop("kept")
@@ -67,7 +78,7 @@ def op10_quality(spark, folder):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
+    return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op4_language_model, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
                                     op10_quality)}
 
 
