@@ -2,7 +2,7 @@
 
 The model is a trie of byte contexts up to ORDER bytes, with an end mark after each text and start marks before it. The
 probability of a byte comes from the longest context that has seen it; every longer context
-that has not pays an escape (method C: distinct symbols over symbols and distinct symbols), and what
+that has not pays an escape (method D: half a count per distinct symbol is set aside for it), and what
 longer contexts predict is excluded below. Under the last order all symbols not yet excluded are equally likely, so
 the probabilities of all continuations of a context add up to one.
 
@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voltrail.llm.common import text_bytes
 from voltrail.session import stage
 
-ORDER = 4
+ORDER = 5
 END, START, SYMBOLS = 256, 257, 257
 BITS = 9
+#: Of the count of each symbol in a context, what goes to the escape.
+ESCAPE = 0.5
 BLOCK_BYTES = 24 << 20
 BYTES_AT_ONCE = 4 << 20
 GRAMS_PER_GROUP = 400_000
@@ -179,9 +181,9 @@ def log10_probabilities(keys: np.ndarray, counts: np.ndarray, pair_keys: np.ndar
         here = _at(*tables[k], gram)
         used = open_ & (q > 0)
         hit = used & (here > 0)
-        result[hit] += np.log10(here[hit] / (n[hit] + q[hit]))
+        result[hit] += np.log10((here[hit] - ESCAPE) / n[hit])
         missed = used & ~hit
-        result[missed] += np.log10(q[missed] / (n[missed] + q[missed]))
+        result[missed] += np.log10(ESCAPE * q[missed] / n[missed])
         open_ &= ~hit
         excluded_n, excluded_q = _at(names, below, context), _at(names, distinct, context)
     result[open_] -= np.log10(SYMBOLS - excluded_q[open_])
