@@ -25,13 +25,16 @@ from voltrail.llm.common import broadcast_if_small, text_bytes
 from voltrail.session import stage
 
 WINDOW, SHINGLE = 50, 8
-DEPTH, CELLS_PER_ANCHOR = 2, 8
+DEPTH, CELLS_PER_ANCHOR = 2, 64
 DOCS_AT_ONCE = 500
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+MARKS_TO_BROADCAST = 4_000_000
 #: Odd multipliers of the two window hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 KEY = "id long, digest binary"
+#: Marks of a document as (first window, last window) of each run.
+RUNS = "id long, part int, firsts array<int>, lasts array<int>"
 
 
 class WordHashes(dict):
@@ -102,12 +105,12 @@ def _anchor_rows(window: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
+                some = batch.slice(at, DOCS_AT_ONCE)
                 found = []
-                for text in part.column(2):
+                for text in some.column(2):
                     words = text.as_py().split()
                     found.append(np.unique(anchors(_low_hashes(words), window, shingle)) if len(words) >= window else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "anchors"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "anchors"])
 
     return run
 
@@ -122,42 +125,58 @@ def _window_rows(window: int, shingle: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.repeat(batch.column(0)[i], len(kept)), pa.repeat(batch.column(1)[i], len(kept)),
                     pa.array(rolling(low, window, BASES[0])[kept].view(np.int64)), pa.array(rolling(high, window, BASES[1])[kept].view(np.int64)),
-                    pa.array(kept.astype(np.int32))], ["id", "digest", "h1", "h2", "pos"])
+                    pa.array(kept.astype(np.int32))], ["id", "part", "h1", "h2", "pos"])
 
     return run
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        firsts, lasts = [], []
+        for starts in batch.column(2):
+            places = np.sort(starts.values.to_numpy())
+            cuts = np.flatnonzero(np.diff(places) > 1)
+            firsts.append(places[np.r_[0, cuts + 1]])
+            lasts.append(places[np.r_[cuts, len(places) - 1]])
+        runs = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(firsts, runs), pa.array(lasts, runs)],
+                                         ["id", "part", "firsts", "lasts"])
+
+
 def _kept_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
+                some = batch.slice(at, DOCS_AT_ONCE)
                 rows = []
-                for text, starts, copy in zip(*(part.column(c) for c in (1, 2, 3))):
+                for text, firsts, lasts, copy in zip(*(some.column(c) for c in (1, 2, 3, 4))):
                     words = text.as_py().split()
                     kept = words
                     if copy.as_py() and len(words) >= window:
                         kept = []
-                    elif starts.as_py():
+                    elif firsts.as_py():
                         ends = np.zeros(len(words) + 1, np.int64)
-                        places = starts.values.to_numpy()
-                        np.add.at(ends, places, 1)
-                        np.add.at(ends, places + window, -1)
+                        np.add.at(ends, firsts.values.to_numpy(), 1)
+                        np.add.at(ends, lasts.values.to_numpy() + window, -1)
                         kept = [w for w, covered in zip(words, np.cumsum(ends).tolist()) if not covered]
                     body = b" ".join(kept)
                     rows.append((len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body))
                 columns = list(zip(*rows)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                                                   pa.array(columns[2], pa.string()), pa.array(columns[3], pa.binary()).cast(pa.string())],
                                                  ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
+def part(digest: str):
+    return F.xxhash64(digest).bitwiseAND((1 << 31) - 1).cast("int").alias("part")
+
+
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
                      shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(copies, marks). copies: digest, least - texts of several ids and the smallest of them. marks: id, digest, starts -
-    of the other texts, the windows that also start in a document with a smaller id."""
+    """(copies, marks). copies: digest, least - texts of several ids and the smallest of them. marks: RUNS - of the other
+    texts, the windows that also start in a document with a smaller id; `part` is 32 bits of the digest and tells rows with the same id apart."""
     rows = docs.filter(F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(text_bytes(text_column))).alias("digest"), text_bytes(text_column).alias("text"))
     every = stage(rows.mapInArrow(_anchor_rows(window, shingle), KEY + ", anchors array<long>"), "anchors")
@@ -176,11 +195,11 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: st
     wanted = stage(exploded.groupBy("id", "digest").agg(F.collect_set("anchor").alias("anchors")), "wanted")
 
     names = broadcast_if_small(wanted.select("id", "digest"), name="names")
-    texts = rows.join(names, ["id", "digest"], "left_semi").join(wanted, ["id", "digest"]).select("id", "digest", "text", "anchors")
-    found = stage(texts.mapInArrow(_window_rows(window, shingle), KEY + ", h1 long, h2 long, pos int"), "windows")
+    texts = rows.join(names, ["id", "digest"], "left_semi").join(wanted, ["id", "digest"]).select("id", part("digest"), "text", "anchors")
+    found = stage(texts.mapInArrow(_window_rows(window, shingle), "id long, part int, h1 long, h2 long, pos int"), "windows")
     least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    marked = found.join(least, ["h1", "h2"]).filter("id > least").groupBy("id", "digest").agg(F.collect_set("pos").alias("starts"))
-    return copies, stage(marked, "marks")
+    marked = found.join(least, ["h1", "h2"]).filter("id > least").groupBy("id", "part").agg(F.collect_set("pos").alias("starts"))
+    return copies, stage(marked.mapInArrow(_run_rows, RUNS), "marks")
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
@@ -192,7 +211,8 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     copies, marks = repeated_windows(docs, id_column, text_column, window, shingle)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(text_bytes(text_column))).alias("digest"), text_bytes(text_column).alias("text"))
-    rows = rows.join(broadcast_if_small(copies, name="copies"), "digest", "left").join(
-        F.broadcast(marks) if (marks.agg(F.sum(F.size("starts") + 4)).first()[0] or 0) < 4_000_000 else marks, ["id", "digest"], "left")
-    return rows.select("id", "text", "starts", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")).mapInArrow(
+    few = (marks.agg(F.sum(F.size("firsts") + 4)).first()[0] or 0) < MARKS_TO_BROADCAST
+    rows = rows.join(broadcast_if_small(copies, name="copies"), "digest", "left").withColumn("part", part("digest")).join(
+        F.broadcast(marks) if few else marks, ["id", "part"], "left")
+    return rows.select("id", "text", "firsts", "lasts", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")).mapInArrow(
         _kept_rows(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
