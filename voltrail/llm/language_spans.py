@@ -78,8 +78,9 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
-        table = counts.reshape(len(langs), len(GRAMS), BUCKETS) if langs else np.zeros((0, len(GRAMS), BUCKETS))
-        self.logs = np.log((table + 0.5) / (table.sum(axis=2, keepdims=True) + 0.5 * BUCKETS)).reshape(len(langs), -1).T.copy() / len(GRAMS)
+        table = counts.reshape(len(langs), len(GRAMS), BUCKETS)
+        table = np.log((table + 0.5) / (table.sum(axis=2, keepdims=True) + 0.5 * BUCKETS)) / len(GRAMS)
+        self.logs = table.reshape(len(langs), len(GRAMS) * BUCKETS).T.copy()
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = share >= SCRIPT_SHARE
         self.known: dict[str, int] = {}
@@ -115,7 +116,7 @@ class Model:
         lengths = np.array([len(w) for w in words], np.int64)
         places = np.fromiter((p for w in words for p in w), np.int64, lengths.sum())
         used, back = np.unique(places, return_inverse=True)
-        rows = np.array([self.rows[p] for p in used]).reshape(-1, len(self.langs))
+        rows = np.array([self.rows[p] for p in used]).reshape(len(used), len(self.langs))
         sizes = np.array([self.sizes[p] for p in used], np.int64)
         ends = np.cumsum(lengths)
         states = viterbi(rows, back, lengths, SWITCH) if self.langs else np.zeros(len(places), np.int64)
