@@ -25,7 +25,7 @@ def _events(name: str, ts: str) -> None:
            CASE WHEN user_id % 3 = 0 THEN 26 ELSE 25 END AS vtype,
            CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 END AS status,
            event_id % 4 AS charge_mode, value, event_id,
-           CASE WHEN event_id % 2 = 0 THEN 'carcom' ELSE 'carbide' END AS collector
+           CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS collector
     FROM (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)""")
 
 
@@ -320,24 +320,25 @@ PAIR = f"vehicle, msg_start_s, start_s, stop_s, msg_start_l, start_l, stop_l, {r
 COMMON = (f"vehicle, session_start, session_stop, msg_start, msg_stop, start, stop, {r('soc_start')}, {r('soc_stop')}, {r('hours')}, {r('soc_gain')}")
 
 
-def _hist(value: str, bins: int) -> str:
+def _hist(value: str, bins: int | str, table: str = "stacked", group: str = "method", amount: str = "count(*)", digits: int = 4) -> str:
     return f"""
-    SELECT method, bin, count(*) AS n, round(CAST(min(lo + bin * w) AS DOUBLE), 4) + 0.0 AS bin_start
-    FROM (SELECT method, lo, w, CAST(CASE WHEN hi = lo THEN 0 ELSE least({bins - 1}, floor(({value} - lo) / w)) END AS BIGINT) AS bin
-          FROM stacked, (SELECT min({value}) AS lo, max({value}) AS hi, (max({value}) - min({value})) / {bins} AS w FROM stacked) WHERE {value} IS NOT NULL)
-    GROUP BY method, bin"""
+    SELECT {group}, bin, {amount} AS n, round(CAST(min(lo + bin * w) AS DOUBLE), {digits}) + 0.0 AS bin_start
+    FROM (SELECT *, CAST(CASE WHEN hi = lo THEN 0 ELSE least(bins - 1, floor(({value} - lo) / w)) END AS BIGINT) AS bin
+          FROM {table}, (SELECT min({value}) AS lo, max({value}) AS hi, (max({value}) - min({value})) / {bins} AS w, {bins} AS bins FROM {table}) WHERE {value} IS NOT NULL)
+    GROUP BY {group}, bin"""
 
 
-def _describe() -> str:
+def _describe(columns: tuple[str, ...] = ("hours", "soc_start", "soc_stop", "soc_gain"), table: str = "stacked", group: str = "method") -> str:
     one = """SELECT method, '{0}' AS "column", count({0}) AS n, round(avg({0}), 4) + 0.0 AS mean, round(stddev_samp({0}), 4) + 0.0 AS std,
              round(min({0}), 4) + 0.0 AS least, round(max({0}), 4) + 0.0 AS greatest, round(quantile_cont({0}, 0.25), 4) + 0.0 AS q25,
              round(quantile_cont({0}, 0.5), 4) + 0.0 AS q50, round(quantile_cont({0}, 0.75), 4) + 0.0 AS q75 FROM stacked GROUP BY method"""
-    return " UNION ALL ".join(one.format(c) for c in ("hours", "soc_start", "soc_stop", "soc_gain"))
+    one = one.replace("SELECT method", f"SELECT {group}").replace("FROM stacked GROUP BY method", f"FROM {table} GROUP BY {group}")
+    return " UNION ALL ".join(one.format(c) for c in columns)
 
 
 STATEMENTS = {
     "scan_messages": """SELECT vehicle, session, msg, ts, status FROM evu
-        WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-16' AND collector = 'carbide'
+        WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-16' AND collector = 'odd'
           AND vehicle IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""",
     "scan_raw_vs_clean": """SELECT vehicle, raw_rows, clean_rows, invalid_rows FROM (SELECT vehicle, count(*) AS raw_rows FROM resent GROUP BY vehicle)
         JOIN (SELECT vehicle, count(*) AS clean_rows, count(*) FILTER (WHERE summary_soc IN (CAST(102.2 AS DOUBLE), CAST(102.3 AS DOUBLE))
@@ -392,7 +393,8 @@ STATEMENTS = {
     "charges_common_l": f"SELECT {COMMON} FROM common_l",
     "overlap_pairs": f"SELECT {PAIR} FROM pairs",
     "overlap_pairs_any": """SELECT s.vehicle, s.start, s.stop, count(l.vehicle) AS overlaps FROM common_s s
-        LEFT JOIN common_l l ON least(l.start, l.stop) <= s.stop AND greatest(l.start, l.stop) >= s.start GROUP BY s.vehicle, s.start, s.stop, s.msg_start""",
+        LEFT JOIN common_l l ON s.start BETWEEN l.start AND l.stop OR s.stop BETWEEN l.start AND l.stop
+            OR l.start BETWEEN s.start AND s.stop OR l.stop BETWEEN s.start AND s.stop GROUP BY s.vehicle, s.start, s.stop, s.msg_start""",
     "overlap_best": f"SELECT {PAIR} FROM (SELECT * FROM pairs50 QUALIFY row_number() OVER (PARTITION BY vehicle, start_s, stop_s ORDER BY start_l, stop_l, msg_start_l) = 1)",
     "overlap_mean_diff": "SELECT count(*) AS pairs, round(avg(abs_diff), 4) + 0.0 AS mean_abs_diff FROM pairs",
     "session_coverage": """SELECT l_rows, s_rows, matched_rows, matched_vehicles, round(100.0 * matched_rows / l_rows, 4) + 0.0 AS l_percent, round(100.0 * matched_rows / s_rows, 4) + 0.0 AS s_percent
@@ -419,7 +421,26 @@ STATEMENTS = {
         WHERE hours < q25 OR hours > q75""",
     "start_probability": """SELECT method, vehicle, msg_start, start, round(count(*) OVER (PARTITION BY method, start) / count(*) OVER (PARTITION BY method), 8) + 0.0 AS probability FROM stacked""",
     "longest_charges": f"SELECT method, {COMMON} FROM (SELECT * FROM stacked QUALIFY rank() OVER (PARTITION BY method ORDER BY hours DESC) = 1)",
-    "event_series": "SELECT vehicle, session, msg, time, event FROM series_l",
+    "event_series": """SELECT 'slope' AS method, vehicle, session, msg, time, event FROM series_l
+        UNION ALL SELECT 'status', vehicle, session, msg, time, event FROM series_s""",
+    "second_run_csv": "SELECT * FROM run_joined",
+    "catalog_charges": "SELECT vehicle, msg_start, msg_stop, ts_start, ts_stop FROM s_final",
+    "charges_overwritten": "SELECT vehicle, msg_start, msg_stop, soc_gain FROM s_final WHERE soc_gain > 10",
+    "raw_landed": """SELECT vehicle, session, msg, ts, status FROM summaryu WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'""",
+    "run_record": "SELECT '1,2' AS vehicles, CAST(min(ts) AS DATE) AS start_date, CAST(max(ts) AS DATE) AS end_date, 'run' AS folder_name FROM events",
+    "window_rows": """SELECT CAST(ts_start AS DATE) AS "window", count(*) AS rows, count(*) AS read_rows FROM u_final
+        WHERE CAST(ts_start AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY 1""",
+    "events_in_order": "SELECT vehicle, session, msg, event, time, row_number() OVER (ORDER BY vehicle, time, msg, event) AS place FROM run1",
+    "family_labels": "SELECT c_custkey AS vehicle, c_mktsegment AS family, 'family ' || lower(c_mktsegment) AS label FROM customer",
+    "run_difference_density": f"""SELECT run, bin, round(n / (sum(n) OVER (PARTITION BY run) * width), 8) + 0.0 AS n, bin_start
+        FROM (SELECT *, (SELECT (max(diff) - min(diff)) / 100 FROM run_joined) AS width FROM ({_hist("diff", 100, "(SELECT 'both' AS run, diff FROM run_joined)", "run", digits=8)}))""",
+    "run_time_histogram": _hist("second", 20, """(SELECT 'first' AS run, epoch_us(time) // 1000000 AS second FROM run1
+        UNION ALL SELECT 'second', epoch_us(time) // 1000000 FROM run2)""", "run"),
+    "start_weighted_histogram": _hist("second", "(SELECT count(DISTINCT vehicle) FROM stacked)", """(SELECT method, epoch_us(start) // 1000000 AS second,
+        count(*) OVER (PARTITION BY method, start) / count(*) OVER (PARTITION BY method) AS probability FROM stacked)""", amount="round(sum(probability), 4) + 0.0"),
+    "vehicles_described": """SELECT method, sum(n)::BIGINT AS n, count(vehicle) AS "unique", arg_max(vehicle, n * 1000000000 - vehicle) AS top, max(n) AS freq, min(a) AS first, max(b) AS last
+        FROM (SELECT method, vehicle, count(vehicle) AS n, min(start) AS a, max(start) AS b FROM stacked GROUP BY ALL) GROUP BY method""",
+    "run_difference_described": _describe(("diff", "first_second"), "(SELECT 'both' AS run, diff, epoch_us(time_first) // 1000000 AS first_second FROM run_joined)", "run"),
     "event_series_numbered": "SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY time, msg, event) AS row_no FROM series_s",
     "event_series_soc": """SELECT vehicle, round(CASE WHEN soc_gain = lag(soc_gain) OVER (PARTITION BY vehicle ORDER BY session, time, msg, event) THEN 0 ELSE soc_gain END, 4) + 0.0 AS soc_gain,
         round(hours, 4) + 0.0 AS hours, session, msg, time, event FROM series_gain""",

@@ -47,9 +47,10 @@ def test_overlaps_match_brute_force(spark):
 
 
 def test_overlap_counts_over_all_vehicles(spark):
-    s, l = spans(3, 80, 0), spans(4, 80)
+    s, l = spans(3, 80, 0), spans(4, 80) + [("c", stop, start) for _, start, stop in spans(6, 40, 0)] + [("c", 400_000, -400_000), ("d", 90_000, 10)]
     got = compare.overlaps_any_vehicle(charges(spark, s), charges(spark, l)).select("vehicle", "start", "stop", "overlaps").collect()
-    expected = [(a[0], at(a[1]), at(a[2]), sum(min(b[1:]) <= a[2] and max(b[1:]) >= a[1] for b in l)) for a in s]
+    meets = lambda a, b: any(x <= p <= y for x, y, p in ((b[1], b[2], a[1]), (b[1], b[2], a[2]), (a[1], a[2], b[1]), (a[1], a[2], b[2])))
+    expected = [(a[0], at(a[1]), at(a[2]), sum(meets(a, b) for b in l)) for a in s]
     assert sorted(map(tuple, got)) == sorted(expected)
 
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from oracle.statements import statements
+from voltrail.plans.catalogue import all_queries
 
 from voltrail.operators import dedup
 from voltrail.sources import testviews as V
@@ -32,4 +34,5 @@ def test_copies_are_dropped_before_the_shuffle(spark, small):
 
 
 def test_queries_have_statements():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(statements())
+    assert set(all_queries()) <= set(entry.queries()) and set(statements()) <= set(entry.oracle_sql())

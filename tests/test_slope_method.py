@@ -58,7 +58,7 @@ def test_cut_series_number_alike(spark, small):
     messages = L.with_trips(V.vehicle_status(spark, small), V.trips(spark, small))
     columns = ["vehicle", "msg", "charging", "filled", "kept", "charge_no"]
     plain = sorted(map(tuple, slope.slope_numbered(messages).select(*columns).collect()))
-    long = find_long(messages, ("vehicle",), "ts", 30)
+    long = find_long(messages, ("vehicle",), 30)
     kept = messages.join(long.frame.select("vehicle"), "vehicle", "left_semi")
     vehicles = {r["vehicle"] for r in long.frame.collect()}
     cut = sorted(map(tuple, slope.slope_numbered(kept, long).select(*columns).collect()))
@@ -118,3 +118,25 @@ def test_charge_ids_are_dense(spark):
 def test_stage_tables(spark, small):
     tables = L.run(V.vehicle_status(spark, small), V.trips(spark, small), V.statuses(spark, small))
     assert tables["enriched"].count() == tables["charges"].count() > 0
+
+
+def test_repeated_messages_keep_one_row_per_trip(spark):
+    from voltrail.operators.slope import attach_trips
+
+    messages = spark.createDataFrame([("v", 1, 5, T0)] * 3 + [("v", None, 6, T0), ("v", 1, 99, T0)], "vehicle string, session long, msg long, ts timestamp")
+    trips = spark.createDataFrame([("v", 1, 10, T0 - timedelta(hours=1), T0 + timedelta(hours=1)), ("v", 2 ** 40, 2 ** 62, T0, T0)],
+                                  "vehicle string, msg_first long, msg_last long, trip_start timestamp, trip_stop timestamp")
+    rows = attach_trips(messages, trips).collect()
+    assert sorted((r["msg"], r["in_trip"]) for r in rows) == [(5, 1), (5, 1), (5, 1), (6, 1), (99, 0)]
+
+
+def test_series_with_outliers_and_ties_are_cut_evenly(spark):
+    from voltrail.operators.series import as_series, find_long
+
+    rows = spark.range(900).selectExpr("if(id % 3 = 0, null, 'v') as vehicle", "if(id = 1, 4102444800, if(id % 2 = 0, 7, id)) as ts", "id as msg")
+    long = find_long(rows, ("vehicle",), 50)
+    cut = as_series(rows, ("vehicle",), ("ts", "msg"), long, before=2, after=2).number("n")
+    sizes = [r["count"] for r in cut.rows.filter("_own").groupBy("_piece").count().collect()]
+    assert len(sizes) == 12 and max(sizes) == 50
+    whole = as_series(rows, ("vehicle",), ("ts", "msg")).number("n")
+    assert sorted(map(tuple, cut.own_rows().select("msg", "n").collect())) == sorted(map(tuple, whole.rows.select("msg", "n").collect()))

@@ -89,7 +89,7 @@ def test_recover_against_brute_force(spark, piece):
             at += rng.choice([-20, 5, 30, 90, 200])  # times may go back
             rows.append((f"v{v}", m, at + 10000, 99, rng.choice([999, 999, 999, None, 7, 8]), 0))
     frame = battery(spark, rows)
-    long = find_long(frame, ("vehicle",), "msg", piece) if piece else None
+    long = find_long(frame, ("vehicle",), piece) if piece else None
     assert (long is not None) == (piece is not None)
     assert socs(battery_log.recover_soc(frame, long=long)) == brute_recover(rows)
 

@@ -33,7 +33,7 @@ def numbered(events: DataFrame, order: Sequence[str], name: str = "row_no") -> D
     """Place of each event in its vehicle's series."""
     def step(rows, long):
         return as_series(rows, ("vehicle",), order, long).number(name).own_rows()
-    return by_length(events, find_long(events, ("vehicle",), order[0]), step)
+    return by_length(events, find_long(events, ("vehicle",)), step)
 
 
 def without_repeats(events: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def without_repeats(events: DataFrame, value: str, order: Sequence[str]) -> Data
         series = series.with_columns({"_previous": previous})
         same = F.col(value) == F.col("_previous")
         return series.with_columns({value: F.when(same, 0).otherwise(F.col(value))}).own_rows().drop("_previous")
-    return by_length(events, find_long(events, ("vehicle",), order[0]), step)
+    return by_length(events, find_long(events, ("vehicle",)), step)
 
 
 def without_soc_jumps(messages: DataFrame, soc: str = "soc", max_jump: float = MAX_SOC_JUMP) -> DataFrame:
@@ -53,7 +53,7 @@ def without_soc_jumps(messages: DataFrame, soc: str = "soc", max_jump: float = M
         series = as_series(rows, ("vehicle",), ("ts", "msg", "session"), long, after=1)
         series = series.with_columns({"soc_drop": F.col(soc) - F.lead(soc).over(series.window())})
         return series.own_rows().filter(F.abs("soc_drop") < max_jump)
-    return by_length(messages, find_long(messages, ("vehicle",), "ts"), step)
+    return by_length(messages, find_long(messages, ("vehicle",)), step)
 
 
 def in_period(df: DataFrame, time: str, first: Column, last: Column, vehicles: DataFrame | None = None) -> DataFrame:

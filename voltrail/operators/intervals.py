@@ -3,7 +3,7 @@
 Every interval is put into the bins it touches and joined on ``(keys, bin)``, so one
 busy vehicle spreads over many join keys and nothing is compared across distant times.
 An interval longer than ``FAN`` bins is binned at a coarser level, which bounds the
-copies; the other side is binned at each level. A pair that shares several
+copies however long it is; the other side is binned at each level. A pair that shares several
 bins is kept in the first of them only, so no de-duplication is needed.
 """
 
@@ -13,21 +13,29 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voltrail.session import stage
+
 FAN = 64
-LEVELS = 3
+LARGEST = 2 ** 63
+
+
+def levels(width: int) -> int:
+    """How many levels it takes until FAN bins span all 64-bit numbers (or the bins themselves would be wider)."""
+    return next(k for k in range(1, 64) if width * FAN ** k >= LARGEST // FAN)
 
 
 def _binned(df: DataFrame, low: Column, high: Column, width: int, prefix: str) -> DataFrame:
     """One row per (level, bin) touched; ``home`` marks the interval's own level."""
+    count = levels(width)
     df = df.withColumns({f"{prefix}lo": low, f"{prefix}hi": high}).filter(F.col(f"{prefix}lo").isNotNull())
     lo, hi = F.col(f"{prefix}lo"), F.col(f"{prefix}hi")
-    home = F.lit(LEVELS - 1)
-    for level in reversed(range(LEVELS - 1)):
+    home = F.lit(count - 1)
+    for level in reversed(range(count - 1)):
         step = width * FAN ** level
         home = F.when(F.floor(hi / step) - F.floor(lo / step) < FAN, level).otherwise(home)
     df = df.withColumn("_home", home)
     per_level = []
-    for level in range(LEVELS):
+    for level in range(count):
         step = width * FAN ** level
         first = F.floor(lo / step)
         bins = F.when(F.col("_home") <= level, F.sequence(first, F.floor(hi / step)))
@@ -40,10 +48,6 @@ def _entry(level: int, first: Column, prefix: str) -> Callable[[Column], Column]
                                (F.col("_home") == level).alias(f"{prefix}home"))
 
 
-def _levels_used(df: DataFrame) -> DataFrame:
-    return df.filter("_rhome").select("_level").distinct()  # at most LEVELS rows
-
-
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[Column, Column],
                   right_span: tuple[Column, Column], width: int, condition: Column) -> DataFrame:
     """Inner join of rows with equal keys whose spans meet and that fulfil ``condition``.
@@ -63,11 +67,12 @@ def points_inside(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     """Inner join of points to the intervals that hold them (both ends included).
 
     The points are the large side: they are copied only to levels that some interval
-    uses, which is one level when no interval is longer than ``FAN`` bins.
+    uses, which is one level when no interval is longer than ``FAN`` bins. The binned intervals are
+    written, so that they are made once for the list of levels (at most eleven) and for the join.
     """
-    wide = _binned(intervals.filter(low <= high), low, high, width, "_r").filter("_rhome")
-    steps = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(at / (width * FAN ** k)).alias("_bin"))
-                      for k in range(LEVELS)])
-    placed = points.select("*", F.inline(steps)).join(F.broadcast(_levels_used(wide)), "_level", "left_semi")
+    wide = stage(_binned(intervals.filter(low <= high), low, high, width, "_r").filter("_rhome"), "intervals")
+    used = sorted(row["_level"] for row in wide.select("_level").distinct().collect())
+    steps = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(at / (width * FAN ** k)).alias("_bin")) for k in used or [0]])
+    placed = points.select("*", F.inline(steps))
     pairs = placed.join(wide, [*keys, "_level", "_bin"]).filter(condition)
     return pairs.drop("_level", "_bin", "_rhome", "_rfirst")

@@ -72,15 +72,33 @@ def vehicle_counts(df: DataFrame, group: str) -> DataFrame:
     return per_vehicle.groupBy(group).agg(F.sum("rows").alias("rows"), F.count("vehicle").alias("vehicles"))
 
 
-def histogram(df: DataFrame, value: str, group: str, bins: int) -> DataFrame:
-    """Counts in equal bins over the range of all groups; the last bin includes its end."""
+def describe_ids(df: DataFrame, name: str, time: str, group: str) -> DataFrame:
+    """Of an id: count, distinct, the most frequent and how often; of a time: first and last. Counted through one row per id."""
+    each = df.groupBy(group, name).agg(F.count(name).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last"))
+    top = F.max(F.when(F.col(name).isNotNull(), F.struct("_n", (-F.col(name)).alias("_id"))))
+    described = each.groupBy(group).agg(F.sum("_n").alias("n"), F.count(name).alias("unique"), top.alias("_top"),
+                                        F.min("_first").alias("first"), F.max("_last").alias("last"))
+    return described.select(group, "n", "unique", (-F.col("_top._id")).alias("top"), F.col("_top._n").alias("freq"), "first", "last")
+
+
+def histogram(df: DataFrame, value: str, group: str, bins: int, weight: str | None = None, density: bool = False) -> DataFrame:
+    """Counts in equal bins over the range of all groups; the last bin includes its end.
+
+    With ``weight`` a row counts as much as that column says; with ``density`` the area over all bins of a group is 1.
+    """
     known = df.filter(F.col(value).isNotNull())
+    kept = [weight] if weight else []
     span = known.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("span"))
     low, high = F.col("_span.lo"), F.col("_span.hi")
     width = (high - low) / bins
     index = F.when(high == low, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / width)))
-    placed = known.select(group, value, span.scalar().alias("_span")).withColumn("bin", index.cast("long"))
-    return placed.groupBy(group, "bin").agg(F.count("*").alias("n"), F.min(low + F.col("bin") * width).alias("bin_start"))
+    placed = known.select(group, value, *kept, span.scalar().alias("_span")).withColumn("bin", index.cast("long"))
+    amount = F.count("*") if weight is None else F.sum(weight)
+    counted = placed.groupBy(group, "bin").agg(amount.alias("n"), F.min(low + F.col("bin") * width).alias("bin_start"), F.min(width).alias("_width"))
+    if density:
+        total = F.sum("n").over(Window.partitionBy(group))  # at most one row per bin
+        counted = counted.withColumn("n", F.try_divide(F.col("n"), total * F.col("_width")))
+    return counted.drop("_width")
 
 
 def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -19,13 +19,12 @@ from voltrail.session import stage
 
 MAX_ROWS_SETTING = "spark.voltrail.series.maxRows"
 MAX_ROWS = 2_000_000
-MAX_LONG = 20_000  # long series listed at most; the rest hold under 1/20,000 of the rows each
 MARKS = ("_piece", "_own", "_pos")
 
 
 @dataclass(frozen=True)
 class LongSeries:
-    """The series above the row limit, with the span and width used to rank their rows."""
+    """The series above the row limit, as a written table of their keys."""
 
     frame: DataFrame
     keys: tuple[str, ...]
@@ -62,33 +61,27 @@ class Series:
         return self.with_columns({name: F.col("_pos") + 1})
 
 
-def _position(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    return F.unix_seconds(column) if kind == "timestamp" else F.col(column).cast("long")
+def find_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> LongSeries | None:
+    """List all series above the row limit; None when there are none.
 
-
-def find_long(df: DataFrame, keys: Sequence[str], position: str, max_rows: int | None = None) -> LongSeries | None:
-    """List the series above the row limit; None when there are none.
-
-    One pre-aggregated count over two columns. Its answer is at most MAX_LONG rows, so it
-    may be held by the driver and broadcast.
+    One pre-aggregated count over the keys. The list is written to the shared folder, so Spark knows its size
+    when it joins it.
     """
     if max_rows is None:
         max_rows = int(df.sparkSession.conf.get(MAX_ROWS_SETTING, str(MAX_ROWS)))
-    at = _position(df, position)
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    long = counted.filter(F.col("_n") > max_rows)
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(max_rows).cast("double") / F.col("_n"))
-    listed = long.orderBy(F.col("_n").desc()).limit(MAX_LONG).select(*keys, "_lo", width.cast("long").alias("_width"))
-    found = listed.collect()
-    if not found:
-        return None
-    return LongSeries(df.sparkSession.createDataFrame(found, listed.schema), tuple(keys), max_rows)
+    counted = with_keys(df, keys).groupBy(*keys).agg(F.count("*").alias("_n"))
+    long = stage(counted.filter(F.col("_n") > max_rows).select(*keys), "long-keys")
+    return None if long.isEmpty() else LongSeries(long, tuple(keys), max_rows)
+
+
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that name their series. Rows without a key are in no series and are left out, cut or not."""
+    return df.dropna(subset=list(keys))
 
 
 def split(df: DataFrame, long: LongSeries) -> tuple[DataFrame, DataFrame]:
     """The rows of ordinary and of long series."""
-    listed = F.broadcast(long.frame.select(*long.keys))
+    listed = long.frame
     return df.join(listed, list(long.keys), "left_anti"), df.join(listed, list(long.keys), "left_semi")
 
 
@@ -108,24 +101,27 @@ def together(df: DataFrame, keys: Sequence[str], long: LongSeries | None) -> Dat
 
 def as_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], long: LongSeries | None = None,
               before: int = 0, after: int = 0) -> Series:
-    """Order rows by series; with ``long`` every row must belong to a long series."""
+    """Order rows by series; with ``long`` every row must belong to a long series.
+
+    Long series are cut by rank: the rows are sorted in parallel over keys and order, and a row's place is
+    its place in its partition and the series' rows in the partitions before. Outliers, nulls and ties in the order do
+    not matter to the size of a piece.
+    """
     keys, order = tuple(keys), tuple(order)
+    df = with_keys(df, keys)
     if long is None:
         return Series(df, keys, order)
     if long.size < max(before, after, 1):
         raise ValueError("pieces must not be shorter than the rows copied over a cut")
-    df = stage(df, "long-series")  # read several times below and in carry()
-    slot = F.floor((_position(df, order[0]) - F.col("_lo")) / F.col("_width")).cast("long")
-    slotted = (df.join(F.broadcast(long.frame), list(long.keys))
-                 .withColumn("_slot", F.coalesce(slot, F.lit(-(2 ** 40)))).drop("_lo", "_width"))
-    sizes = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    columns = [F.col(c).asc() for c in (*keys, *order)]
+    rest = [F.col(c).asc() for c in df.columns if c not in keys + order]  # full ties are cut alike in every run, and anywhere
+    placed = df.repartitionByRange(*columns, *rest).sortWithinPartitions(*columns, *rest).withColumn("_place", F.monotonically_increasing_id())
+    placed = stage(placed.withColumn("_slot", F.shiftright("_place", 33)), "long-series")  # read several times below and in carry()
+    sizes = placed.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"), F.min("_place").alias("_begin"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    ranked = (slotted.withColumn("_rank", F.row_number().over(in_slot))
-                     .join(sizes, [*keys, "_slot"])
-                     .withColumn("_pos", F.col("_ahead") + F.col("_rank") - 1)
-                     .drop("_slot", "_rank", "_ahead"))
+    sizes = sizes.select(*keys, "_slot", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_begin")).alias("_shift"))
+    ranked = (placed.join(sizes, [*keys, "_slot"]).withColumn("_pos", F.col("_place") + F.col("_shift"))
+                    .drop("_slot", "_place", "_shift"))
     piece = F.floor(F.col("_pos") / long.size).cast("long")
     offset = F.col("_pos") % long.size
     copies = F.array_compact(F.array(
@@ -190,4 +186,4 @@ def series_minimum(series: Series, name: str, column: str) -> Series:
         reach = series.window().rowsBetween(Window.unboundedPreceding, 0)
         return series.with_columns({name: F.min(column).over(reach)})
     lowest = series.rows.groupBy(*series.keys).agg(F.min(column).alias(name))  # one row per long series
-    return replace(series, rows=series.rows.join(F.broadcast(lowest), list(series.keys)))
+    return replace(series, rows=series.rows.join(lowest, list(series.keys)))

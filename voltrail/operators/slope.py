@@ -19,12 +19,16 @@ MIN_GAIN = 1
 
 
 def attach_trips(messages: DataFrame, trips: DataFrame) -> DataFrame:
-    """Each status message with the trip its id falls in; trip times moved inwards by ten seconds."""
+    """Each status message with the trip its id falls in; trip times moved inwards by ten seconds.
+
+    Trips are looked up once per vehicle and id, so repeated messages and messages without a session keep
+    one row per trip, as in a left join.
+    """
     spans = trips.select("vehicle", "msg_first", "msg_last", "trip_start", "trip_stop").withColumns({
         "trip_start_inner": F.col("trip_start") + F.expr(TRIP_MARGIN),
         "trip_stop_inner": F.col("trip_stop") - F.expr(TRIP_MARGIN)})
-    key = ["vehicle", "session", "msg"]
-    inside = points_inside(messages.select(*key), spans, ["vehicle"], F.col("msg"), F.col("msg_first"),
+    key = ["vehicle", "msg"]
+    inside = points_inside(messages.select(*key).distinct(), spans, ["vehicle"], F.col("msg"), F.col("msg_first"),
                            F.col("msg_last"), TRIP_BIN, F.col("msg").between(F.col("msg_first"), F.col("msg_last")))
     joined = messages.join(inside.drop("msg_first", "msg_last"), key, "left")
     in_trip = F.col("ts").between(F.col("trip_start_inner"), F.col("trip_stop_inner"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.functions import battery as B
-from voltrail.functions.clock import duration_seconds, near_midnight, near_midnight_exact
+from voltrail.functions.clock import duration_seconds, parse_time, near_midnight, near_midnight_exact
 from voltrail.operators import audit, battery_log, compare, dedup, event_series, fleet, plugs, profile, refine, slope
 from voltrail.plans import rolling, slope_method as L, status_method as S
 from voltrail.session import scratch_path, shared_folder, stage
@@ -106,7 +107,7 @@ def _run_pair(spark, folder):
 def scan_messages(spark, folder):
     wanted = V.vehicles(spark, folder).filter(F.col("family") == "MACHINERY")
     rows = V.raw_events(spark, folder, compressed=False)
-    rows = readers.select_messages(rows, date(2024, 1, 5), date(2024, 1, 15), wanted, "carbide")
+    rows = readers.select_messages(rows, date(2024, 1, 5), date(2024, 1, 15), wanted, "odd")
     return rows.select("vehicle", "session", "msg", "ts", "status")
 
 
@@ -160,6 +161,79 @@ def charges_month(spark, folder):
     return rows.select("vehicle", "msg_start", "msg_stop", "ts_start", "ts_stop", "duration", "year", "month")
 
 
+@query
+def second_run_csv(spark, folder):
+    """Another run read from text: written as delimited text, read with types, and its times parsed."""
+    path = scratch_path(spark, "other-run")
+    events = V.second_run(_run_events(spark, folder)).select("vehicle", "session", "msg", "event", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"))
+    events.write.option("header", True).option("sep", ";").csv(path)
+    read = readers.read_csv(spark, path, "vehicle bigint, session bigint, msg bigint, event string, time string")
+    return audit.run_difference(_run_events(spark, folder), read.withColumn("time", parse_time(F.col("time"))))
+
+
+@query
+def catalog_charges(spark, folder):
+    """Charges saved as a catalog table and read back by name."""
+    name = f"charges_{uuid.uuid4().hex}"
+    sinks.save_table(_status_charges(spark, folder).select("vehicle", "msg_start", "msg_stop", "ts_start", "ts_stop"), name)
+    return readers.read_table(spark, name)
+
+
+@query
+def charges_overwritten(spark, folder):
+    """The second of two writes to one place stands alone."""
+    path, charges = scratch_path(spark, "charges"), stage(_status_charges(spark, folder).select("vehicle", "msg_start", "msg_stop", "soc_gain"))
+    sinks.overwrite(charges, path)
+    sinks.overwrite(charges.filter("soc_gain > 10"), path)
+    return readers.read_stage(spark, path)
+
+
+@query
+def raw_landed(spark, folder):
+    """Messages landed by kind and day, one day landed twice, and read back for a range of days."""
+    root = scratch_path(spark, "raw")
+    kinds = {68: V.remote(spark, folder, False), 74: V.vehicle_status(spark, folder), 79: V.summary(spark, folder, False)}
+    sinks.land_raw(kinds, root)
+    again = kinds[79].filter(F.to_date("ts") == F.lit(date(2024, 1, 6)))
+    sinks.land_raw({79: again}, root, (79,))
+    rows = readers.read_messages(spark, root, 79, date(2024, 1, 5), date(2024, 1, 12), collector="odd")
+    return rows.select("vehicle", "session", "msg", "ts", "status")
+
+
+@query
+def run_record(spark, folder):
+    """The configuration of a run over the table's days, as its record holds it."""
+    days = V.raw_events(spark, folder, compressed=False).agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
+    config = sinks.RunConfig(("1", "2"), days["a"], days["b"], "run")
+    root = scratch_path(spark, "record")
+    sinks.write_run_record(spark, config, root)
+    return readers.read_stage(spark, f"{root}/run/run_config").select(
+        F.concat_ws(",", "vehicles").alias("vehicles"), "start_date", "end_date", "folder_name")
+
+
+@query
+def window_rows(spark, folder):
+    """Charges per window, as the window sink counts them while writing."""
+    path, charges = scratch_path(spark, "windows"), stage(S.charges(_battery(spark, folder, compressed=False), LAST_DAY))
+    days = [date(2024, 1, d) for d in (3, 4, 5)]
+    counts = [(day, sinks.write_window(charges.filter(F.to_date("ts_start") == F.lit(day)), path, day)) for day in days]
+    read = spark.read.parquet(path).groupBy(F.col("window").cast("date").alias("window")).agg(F.count("*").alias("read_rows"))
+    return spark.createDataFrame(counts, "window date, rows long").join(read, "window")
+
+
+@query
+def events_in_order(spark, folder):
+    """The sorted output, with each row's place in it."""
+    rows = event_series.ordered(_run_events(spark, folder), "time", "msg", "event")
+    return dedup.number_globally(rows.withColumn("_written", F.monotonically_increasing_id()), ("_written",), "place").drop("_written")
+
+
+@query
+def family_labels(spark, folder):
+    families = V.vehicles(spark, folder).select("family").distinct().withColumn("label", F.concat(F.lit("family "), F.lower("family")))
+    return fleet.family_labels(V.vehicles(spark, folder).select("vehicle", "family"), families)
+
+
 # Method S.
 
 @query
@@ -419,6 +493,42 @@ def duration_histogram(spark, folder):
     return rounded(profile.histogram(_stacked(spark, folder), "hours", "method", 100))
 
 
+@query
+def run_difference_density(spark, folder):
+    """Density of the seconds between two runs, in 100 bins."""
+    diffs = audit.run_difference(*_run_pair(spark, folder)).withColumn("run", F.lit("both"))
+    return rounded(profile.histogram(diffs, "diff", "run", 100, density=True), 8)
+
+
+@query
+def run_time_histogram(spark, folder):
+    """Events of each run over time, in 20 bins."""
+    first, second = _run_pair(spark, folder)
+    both = first.withColumn("run", F.lit("first")).unionByName(second.withColumn("run", F.lit("second")))
+    return rounded(profile.histogram(both.withColumn("second", F.unix_seconds("time")), "second", "run", 20))
+
+
+@query
+def start_weighted_histogram(spark, folder):
+    """Starts of charges weighted by the share of charges that start with them; one bin per vehicle."""
+    stacked = stage(_stacked(spark, folder))
+    bins = max(1, stacked.select("vehicle").distinct().count())
+    starts = profile.start_probability(stacked, "method").withColumn("second", F.unix_seconds("start"))
+    return rounded(profile.histogram(starts, "second", "method", bins, weight="probability"))
+
+
+@query
+def vehicles_described(spark, folder):
+    """Count, distinct and most frequent vehicle, and the range of the start times."""
+    return profile.describe_ids(_stacked(spark, folder), "vehicle", "start", "method")
+
+
+@query
+def run_difference_described(spark, folder):
+    diffs = audit.run_difference(*_run_pair(spark, folder)).withColumns({"run": F.lit("both"), "first_second": F.unix_seconds("time_first")})
+    return rounded(profile.describe(diffs, ("diff", "first_second"), "run"))
+
+
 @query
 def soc_gain_histogram(spark, folder):
     return rounded(profile.histogram(_stacked(spark, folder), "soc_gain", "method", 10))
@@ -460,8 +570,7 @@ COMMON_START, COMMON_STOP = ("session_start", "msg_start", "start"), ("session_s
 
 @query
 def event_series_rows(spark, folder):
-    events = event_series.to_events(_stacked(spark, folder), COMMON_START, COMMON_STOP, SERIES_NAMES, ("method",))
-    return events.filter(F.col("method") == "slope").drop("method")
+    return event_series.to_events(_stacked(spark, folder), COMMON_START, COMMON_STOP, SERIES_NAMES, ("method",))
 
 
 @query

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.plans import status_method
-from voltrail.session import scratch_path, stage
-from voltrail.sources.sinks import overwrite, write_window
+from voltrail.session import stage
+from voltrail.sources.sinks import window_path, write_window
 
 WINDOW_KEYS = ("window", "vehicle")
 CHARGE_KEY = ["vehicle", "window", "msg_start", "msg_stop"]
@@ -37,25 +38,24 @@ def run_days(spark: SparkSession, read_days: Callable[[date, date], DataFrame],
              output: str) -> dict[date, int]:
     """Write the new charges of each day in [first, end) to ``output``; returns rows per day.
 
-    ``read_days(a, b)`` gives the unified battery table of the days a to b. The state is the
-    table of the last window's new charges, written to the shared folder.
+    ``read_days(a, b)`` gives the unified battery table of the days a to b. What the window before has
+    emitted is read from its folder in the output.
     """
-    counts, previous = {}, None
+    counts = {}
     day = first
     while day < end:
-        counts[day], previous = run_day(spark, read_days(day, day + timedelta(days=1)), day, output, previous)
+        counts[day] = run_day(spark, read_days(day, day + timedelta(days=1)), day, output, follows=day > first)
         day += timedelta(days=1)
     return counts
 
 
-def run_day(spark: SparkSession, battery: DataFrame, day: date, output: str, previous: str | None) -> tuple[int, str]:
-    """One window: returns the number of new charges and the path of the table that holds them."""
+def run_day(spark: SparkSession, battery: DataFrame, day: date, output: str, follows: bool) -> int:
+    """One window, after the one of the day before if it ``follows`` it; returns the number of new charges."""
     charges = status_method.charges(battery, F.lit(day))
-    if previous is not None:
-        charges = without_emitted(charges, spark.read.parquet(previous))
-    path = scratch_path(spark, f"emitted-{day}")
-    overwrite(charges, path)
-    return write_window(spark.read.parquet(path), output, day), path
+    if follows:
+        emitted = spark.read.schema(charges.schema).parquet(window_path(output, day - timedelta(days=1)))
+        charges = without_emitted(charges, emitted)
+    return write_window(charges, output, day)
 
 
 def in_windows(battery: DataFrame, first: date, end: date) -> DataFrame:
@@ -79,21 +79,26 @@ def _new_charges(keys: DataFrame) -> DataFrame:
     """Decide which charges are new when each window only knows the one before.
 
     A charge is new when no *new* charge of the window before repeats it. Charges without such a
-    neighbour are new at once; the others follow in rounds, one per link of a chain. Within a window
+    neighbour are new at once; the others follow in rounds, one per link of a chain. A round reads
+    and writes only what is still open: the charges it decides are set aside. Within a window
     a vehicle's charges are disjoint and last over five minutes, so there are few candidates per key.
     """
     earlier = keys.select("vehicle", F.date_add("window", 1).alias("window"), F.col("window").alias("_window"),
                           F.col("msg_start").alias("_start"), F.col("msg_stop").alias("_stop"))
     links = keys.join(earlier, ["vehicle", "window"]).filter(_repeats("msg_start", "msg_stop", "_start", "_stop"))
     links = stage(links)
-    state = keys.join(links.select(*CHARGE_KEY).distinct().withColumn("_linked", F.lit(True)), CHARGE_KEY, "left")
-    state = stage(state.select(*CHARGE_KEY, F.when(F.col("_linked").isNull(), True).alias("new")))
-    while not state.filter(F.col("new").isNull()).isEmpty():
-        known = state.select("vehicle", F.col("window").alias("_window"), F.col("msg_start").alias("_start"),
-                             F.col("msg_stop").alias("_stop"), F.col("new").alias("_new"))
-        verdict = links.join(known, ["vehicle", "_window", "_start", "_stop"]).groupBy(*CHARGE_KEY).agg(
+    linked = links.select(*CHARGE_KEY).distinct()
+    decided = stage(keys.join(linked, CHARGE_KEY, "left_anti").select(*CHARGE_KEY, F.lit(True).alias("new")))
+    new = [decided]
+    while not links.isEmpty():
+        known = decided.select("vehicle", F.col("window").alias("_window"), F.col("msg_start").alias("_start"),
+                               F.col("msg_stop").alias("_stop"), F.col("new").alias("_new"))
+        judged = links.join(known, ["vehicle", "_window", "_start", "_stop"], "left")
+        verdict = judged.groupBy(*CHARGE_KEY).agg(
             F.max(F.coalesce(F.col("_new"), F.lit(False))).alias("_repeated"), F.count("_new").alias("_known"), F.count("*").alias("_n"))
-        decided = F.when(F.col("_repeated"), False).when(F.col("_known") == F.col("_n"), True)
-        state = stage(state.join(verdict, CHARGE_KEY, "left").select(
-            *CHARGE_KEY, F.coalesce(F.col("new"), decided).alias("new")))
-    return state.filter("new").select(*CHARGE_KEY)
+        settled = F.when(F.col("_repeated"), False).when(F.col("_known") == F.col("_n"), True)
+        decided = stage(verdict.select(*CHARGE_KEY, settled.alias("new")).filter("new is not null"))
+        new.append(decided.filter("new"))
+        open_ = judged.join(decided.select(*CHARGE_KEY), CHARGE_KEY, "left_anti")
+        links = stage(open_.filter(F.col("_new").isNull()).select(links.columns))  # links to old charges repeat nothing
+    return reduce(DataFrame.unionByName, new).select(*CHARGE_KEY)

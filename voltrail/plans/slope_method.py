@@ -21,7 +21,7 @@ def with_trips(messages: DataFrame, trips: DataFrame) -> DataFrame:
 
 
 def _run(messages: DataFrame, trips: DataFrame, step) -> DataFrame:
-    long = find_long(messages, KEYS, "ts")
+    long = find_long(messages, KEYS)
     return by_length(messages, long, lambda rows, long: step(S.attach_trips(rows, trips), long))
 
 
@@ -51,7 +51,7 @@ def spans(first: DataFrame, summary: DataFrame) -> DataFrame:
 def asof(spanned: DataFrame, summary: DataFrame) -> DataFrame:
     """Each status message with the charge begun last; long vehicles are cut into pieces."""
     statuses = R.status_messages(summary)
-    long = find_long(summary, KEYS, "ts")
+    long = find_long(summary, KEYS)
     if long is None:
         return R.status_asof(spanned, statuses)
     (few, many), (few_statuses, many_statuses) = split(spanned, long), split(statuses, long)

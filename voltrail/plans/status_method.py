@@ -22,7 +22,7 @@ def _deduplicated(battery: DataFrame, keys: Sequence[str], long: LongSeries | No
 
 def _run(battery: DataFrame, keys: Sequence[str], step) -> DataFrame:
     """Run a step on ordinary vehicles and, cut into pieces, on long ones."""
-    return by_length(battery, find_long(battery, keys, "msg"), step)
+    return by_length(battery, find_long(battery, keys), step)
 
 
 def repaired(battery: DataFrame, keys: Sequence[str] = KEYS, null_mode: str = "compact") -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from voltrail.operators.dedup import dedup_messages
 
-MAX_LITERAL_IDS = 1000
-COLLECTORS = ("carcom", "carbide")  # fixed values of the telemetry platform
-
 
 def read_messages(spark: SparkSession, root: str, kind: int, first: date, last: date,
                   vehicles: Sequence[str] | DataFrame | None = None, collector: str | None = None,
@@ -38,16 +35,13 @@ def select_messages(messages: DataFrame, first: date, last: date, vehicles: Sequ
 
 
 def _restricted(rows: DataFrame, vehicles: Sequence[str] | DataFrame | None, collector: str | None) -> DataFrame:
+    """Ids are joined as a table of the column's own type, however many there are."""
     if collector is not None:
-        if collector not in COLLECTORS:
-            raise ValueError(f"unknown collector {collector!r}")
         rows = rows.filter(F.col("collector") == collector)
     if vehicles is None:
         return rows
     if not isinstance(vehicles, DataFrame):
-        if len(vehicles) <= MAX_LITERAL_IDS:
-            return rows.filter(F.col("vehicle").isin(list(vehicles)))
-        vehicles = rows.sparkSession.createDataFrame([(v,) for v in vehicles], "vehicle string")
+        vehicles = rows.sparkSession.createDataFrame([(v,) for v in vehicles], T.StructType([rows.schema["vehicle"]]))
     return rows.join(vehicles.select("vehicle"), "vehicle", "left_semi")
 
 

@@ -40,43 +40,47 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def append_months(df: DataFrame, path: str, time: str = "ts_start", files_per_month: int = 8) -> int:
+def append_months(df: DataFrame, path: str, time: str = "ts_start") -> int:
     """Append charges under ``year=/month=``; returns the number of rows, counted while writing.
 
-    Rows are spread by month and vehicle hash over a fixed number of writers per month.
+    Rows are gathered by month in partitions of about the advised size, so a large month gets many writers and a
+    small one a single file.
     """
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    part = counted.withColumns({"year": F.year(time), "month": F.month(time),
-                                "_file": F.pmod(F.xxhash64("vehicle", time), F.lit(files_per_month))})
-    part.repartition("year", "month", "_file").drop("_file").write.mode("append").partitionBy("year", "month").parquet(path)
+    part = counted.withColumns({"year": F.year(time), "month": F.month(time)})
+    part.hint("rebalance", F.col("year"), F.col("month")).write.mode("append").partitionBy("year", "month").parquet(path)
     return seen.get["rows"]
 
 
 def write_window(df: DataFrame, path: str, day: date) -> int:
     """Charges of one window under ``year=/month=/window=``; returns the number of rows.
 
-    Only the window's own folder is replaced, so a run that is repeated after a failure
-    leaves no row twice.
+    The window's own folder is replaced as a whole, so a run that is repeated leaves no row twice, and
+    none of an earlier run when it finds nothing.
     """
     seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumns(
-        {"year": F.lit(day.year), "month": F.lit(day.month), "window": F.lit(day)})
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("year", "month", "window").parquet(path))
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(window_path(path, day))
     return seen.get["rows"]
 
 
+def window_path(path: str, day: date) -> str:
+    return f"{path}/year={day.year}/month={day.month}/window={day}"
+
+
 def save_table(df: DataFrame, name: str, source: str = "parquet") -> None:
     """A catalog table; ``source="delta"`` where that package is installed."""
     df.write.mode("overwrite").format(source).saveAsTable(name)
 
 
 def land_raw(messages: Mapping[int, DataFrame], path: str, kinds: Sequence[int] = RAW_KINDS) -> None:
-    """Write each message kind to ``path/kind=K/day=D``, the layout that the reader prunes by."""
+    """Write each message kind to ``path/kind=K/day=D``, the layout that the reader prunes by.
+
+    Days that are landed again are replaced; all other days stay.
+    """
     for kind in kinds:
         rows = messages[kind].withColumn("day", F.to_date("ts"))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/kind={kind}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/kind={kind}")
 
 
 def write_run_record(spark: SparkSession, config: RunConfig, root: str) -> DataFrame:

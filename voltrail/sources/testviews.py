@@ -38,7 +38,7 @@ def raw_events(spark: SparkSession, folder: str, compressed: bool = True) -> Dat
         ts.alias("ts"), clock.alias("session_clock"), rts.cast("double").alias("rts"),
         F.when(F.col("user_id") % 3 == 0, 26).otherwise(25).alias("vtype"), status.cast("int").alias("status"),
         (F.col("event_id") % 4).cast("int").alias("charge_mode"), F.col("value"), F.col("event_id"),
-        F.when(_divisible(2), "carcom").otherwise("carbide").alias("collector"))
+        F.when(_divisible(2), "even").otherwise("odd").alias("collector"))
 
 
 def battery_messages(spark: SparkSession, folder: str, compressed: bool = True) -> tuple[DataFrame, DataFrame]:

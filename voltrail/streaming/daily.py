@@ -1,8 +1,8 @@
-"""The rolling job driven by a file stream: each run takes the days that have landed since the last one."""
+"""The rolling job driven by a file stream: each run works the windows that newly landed files touch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,36 +11,46 @@ from pyspark.sql.types import StructType
 
 from voltrail.plans.rolling import run_day
 
+KINDS = (68, 79)
+NEXT = timedelta(days=1)
 
-def follow(spark: SparkSession, landing: str, schema: StructType, read_days: Callable[[date, date], DataFrame],
-           output: str, state: str, checkpoint: str, time: str = "ts") -> StreamingQuery:
-    """Process newly landed days once and stop (``availableNow``).
 
-    A window can run when its second day has landed, so the newest day waits for the next run.
-    ``state`` keeps one row per finished window with the table of its new charges; a batch that
-    is retried after a failure skips the windows that are already listed there.
+def follow(spark: SparkSession, landing: str, schema: StructType, read_days: Callable[[date, date], DataFrame],
+           output: str, state: str, checkpoint: str, time: str = "ts", kinds: Sequence[int] = KINDS) -> StreamingQuery:
+    """Process newly landed files under ``landing/kind=K/day=D`` once and stop (``availableNow``).
+
+    The window of a day needs that day and the next, of every kind; it waits until all four have landed.
+    A batch works again every window that its files touch, also old ones for messages that come late,
+    and then the windows after them for as long as they follow without a gap, since each drops what the one
+    before has emitted. ``state`` keeps a row per landed kind and day; windows are replaced
+    as a whole, so a batch that is retried after a failure leaves the same result.
     """
     landed = spark.readStream.schema(schema).parquet(landing)
 
     def windows(batch: DataFrame, batch_id: int) -> None:
-        bounds = batch.agg(F.min(F.to_date(time)), F.max(F.to_date(time))).first()
-        if bounds[0] is None:
+        fresh = batch.filter(F.col("kind").isin(*kinds)).select("kind", F.to_date(time).alias("day")).dropna().distinct()
+        new = {(row["kind"], row["day"]) for row in fresh.collect()}  # one per kind and day
+        if not new:
             return
-        done = _finished(spark, state)
-        day = max(done) + timedelta(days=1) if done else bounds[0]
-        while day < bounds[1]:
-            rows, path = run_day(spark, read_days(day, day + timedelta(days=1)), day, output, done.get(day - timedelta(days=1)))
-            record = spark.createDataFrame([(day, path, rows)], "day date, path string, rows long")
-            record.write.mode("append").parquet(state)
-            done[day] = path
-            day += timedelta(days=1)
+        have = _landed(spark, state) | new
+        complete = {day for _, day in have if all((kind, day) in have for kind in kinds)}
+        ready = {day for day in complete if day + NEXT in complete}
+        due = sorted(ready & {day - back for _, day in new for back in (NEXT, timedelta(0))})
+        done: set[date] = set()
+        for first in due:
+            day = first
+            while day in ready and day not in done:
+                run_day(spark, read_days(day, day + NEXT), day, output, follows=day - NEXT in ready)
+                done.add(day)
+                day += NEXT
+        spark.createDataFrame(sorted(new), "kind int, day date").write.mode("append").parquet(state)
 
     return (landed.writeStream.foreachBatch(windows).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _finished(spark: SparkSession, state: str) -> dict[date, str]:
-    """Finished windows; one row per day of operation."""
-    schema = "day date, path string, rows long"
+def _landed(spark: SparkSession, state: str) -> set[tuple[int, date]]:
+    """Landed kinds and days; a few rows per day of operation."""
+    schema = "kind int, day date"
     spark.createDataFrame([], schema).write.mode("append").parquet(state)
-    return {row["day"]: row["path"] for row in spark.read.schema(schema).parquet(state).collect()}
+    return {(row["kind"], row["day"]) for row in spark.read.schema(schema).parquet(state).distinct().collect()}
