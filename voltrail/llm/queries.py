@@ -82,5 +82,39 @@ def all_queries():
                                     op10_quality)}
 
 
+def _spans_sql() -> str:
+    """The spans of all rules, found by cutting each text at its matches."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    each = [f"""
+        SELECT doc_id, {rank} AS rank, '{r.name}' AS rule, unnest(regexp_extract_all(t, {quoted(r.pattern)}, 0)) AS m,
+            unnest(regexp_extract_all(t, {quoted(r.pattern)}, {r.group})) AS part, unnest(range(1, len(regexp_extract_all(t, {quoted(r.pattern)}, 0)) + 1)) AS n,
+            unnest(string_split_regex(t, {quoted(r.pattern)})[1:len(regexp_extract_all(t, {quoted(r.pattern)}, 0))]) AS before, {r.least} AS least
+        FROM texts""" for rank, r in enumerate(secret_ledger.RULES)]
+    return " UNION ALL ".join(each)
+
+
 def statements():
-    return {}
+    """SQL for DuckDB, where it can express a query."""
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS n_{r}" for r in secret_ledger.BASE)
+    base = ", ".join(f"'{r}'" for r in secret_ledger.BASE)
+    one = "rule || ':' || (stop - length(m)) || ':' || stop, ',' ORDER BY stop - length(m), rank, stop"
+    return {
+        "op5_windows": r"""
+            WITH trimmed AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM documents),
+            split AS (SELECT doc_id, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(t, '[\x20\x09-\x0D]+') END AS ws FROM trimmed),
+            windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM split, unnest(range(1, len(ws) - 48)) AS place(i)),
+            marks AS (SELECT doc_id, i FROM windows JOIN (SELECT h, min(doc_id) AS least FROM windows GROUP BY h) USING (h) WHERE doc_id > least),
+            words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM split),
+            judged AS (SELECT w.doc_id, w.p, w.word, coalesce(max(m.i) OVER (PARTITION BY w.doc_id ORDER BY w.p) >= w.p - 49, false) AS gone
+                       FROM words w LEFT JOIN marks m ON w.doc_id = m.doc_id AND w.p = m.i)
+            SELECT doc_id, count(p) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+                sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            FROM split LEFT JOIN judged USING (doc_id) GROUP BY doc_id""",
+        "op7_secrets": f"""
+            WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_spans_sql()}),
+            placed AS (SELECT *, CAST(sum(length(before) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY n) AS BIGINT) AS stop FROM found),
+            good AS (SELECT * FROM placed WHERE length(part) >= least)
+            SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}) FILTER (WHERE rule IN ({base})), '')) AS base_sha256,
+                coalesce(string_agg({one}), '') AS spans
+            FROM texts LEFT JOIN good USING (doc_id) GROUP BY doc_id""",
+    }
