@@ -12,24 +12,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.session import stage
 
-BUCKETS = 4096
-
 
 def exact_quantiles(df: DataFrame, value: str, group: str, probabilities: Sequence[float]) -> DataFrame:
     """Interpolated quantiles per group, without gathering a group's values in one task.
 
-    Values are first counted per distinct value, then per bucket of the value range. The
-    bucket totals (at most BUCKETS per group) tell which buckets hold the wanted ranks, and only the
-    values of those buckets are put in order.
+    Values are counted per distinct value, and the counts are range-partitioned, which evens the partitions out whatever
+    the values are. The totals per partition tell which partitions hold the wanted ranks, and only the
+    values of those are put in order. The input is read once.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS))
-    placed = counts.join(stage(span), group).withColumn("_bucket", bucket.cast("long"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(group, "_bucket").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
-    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    placed = stage(counts.repartitionByRange(group, "_v").withColumn("_bucket", F.spark_partition_id()), "counts")
+    per_group = Window.partitionBy(group)  # one row per partition
+    before = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(group, "_bucket").agg(F.sum("_n").alias("_in"))
+    totals = totals.withColumns({"_total": F.sum("_in").over(per_group), "_ahead": F.coalesce(F.sum("_in").over(before), F.lit(0))})
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     ranks = totals.withColumn("_p", F.explode(wanted)).withColumn("_rank", F.col("_p") * (F.col("_total") - 1))
     low, high = F.floor("_rank"), F.ceil("_rank")
