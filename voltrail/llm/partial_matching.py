@@ -33,7 +33,9 @@ BITS = 9
 #: Of the count of each symbol in a context, what goes to the escape.
 ESCAPE = 0.5
 BLOCK_BYTES = 24 << 20
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
+LISTS_TO_MERGE = 6
+CACHE_WORDS = 100_000
 GRAMS_PER_GROUP = 400_000
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint16)
 WORD_KEY_SEED = 0
@@ -78,9 +80,8 @@ class Tally:
     """Training counts of the grams and words of one block; those of texts that are only scored count zero."""
 
     def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.words: Counter = Counter()
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, texts: pa.Array, learn: np.ndarray) -> None:
@@ -90,24 +91,26 @@ class Tally:
             weight = np.repeat(here, lengths)
             for mine in (True, False):
                 keys, counts = np.unique(found[weight == mine], return_counts=True)
-                self.keys.append(keys)
-                self.counts.append(counts if mine else np.zeros_like(counts))
+                self._merge(self.grams, keys, counts if mine else np.zeros_like(counts))
+            words: Counter = Counter()
             for text, mine in zip(part, here):
-                words = text.as_py().lower().split()
-                if mine:
-                    self.words.update(words)
-                else:
-                    self.words.update(dict.fromkeys(words, 0))
+                split = text.as_py().lower().split()
+                words.update(split if mine else dict.fromkeys(split, 0))
+            self._merge(self.words, np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
             self.size += int(lengths.sum())
 
+    @staticmethod
+    def _merge(lists: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, counts: np.ndarray) -> None:
+        lists.append((keys, counts))
+        if len(lists) > LISTS_TO_MERGE:
+            lists[:] = [_sums(np.concatenate([k for k, _ in lists]), np.concatenate([c for _, c in lists]))]
+
     def rows(self, block: int) -> pa.RecordBatch:
-        keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(back, np.concatenate(self.counts), len(keys)).astype(np.int64)
-        words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        (keys, counts), (words, uses) = (_sums(*map(np.concatenate, zip(*lists))) for lists in (self.grams, self.words))
         return pa.RecordBatch.from_pydict({
             "block": np.full(len(keys) + len(words), block, np.int64), "kind": np.repeat([0, 1], [len(keys), len(words)]).astype(np.int8),
             "key": np.concatenate((keys.view(np.int64), words)),
-            "n": np.concatenate((counts, np.fromiter(self.words.values(), np.int64, len(words))))})
+            "n": np.concatenate((counts, uses)).astype(np.int64)})
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +194,12 @@ def log10_probabilities(keys: np.ndarray, counts: np.ndarray, pair_keys: np.ndar
 
 
 class Lookup:
-    """Values of 64-bit keys in an open-addressed table of numpy arrays; zero for other keys."""
+    """Values of 64-bit keys in an open-addressed table of numpy arrays; zero for other keys. Keys may be repeated with their value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits)
+        self.keys, self.values = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits, values.dtype)
         slot = self._slot(keys)
         while len(keys):
             free = self.keys[slot] == np.iinfo(np.uint64).max
@@ -226,9 +229,11 @@ class _Words(dict):
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         super().__init__()
         order = np.argsort(keys)
-        self.keys_, self.logs = keys[order], np.log10(counts[order] + 1)
+        self.keys_, self.logs = keys[order], np.log10(counts[order].astype(float) + 1)
 
     def __missing__(self, word: bytes) -> float:
+        if len(self) > CACHE_WORDS:
+            self.clear()
         key = word_key(word)
         place = int(np.searchsorted(self.keys_, key))
         value = self[word] = float(self.logs[place]) if place < len(self.keys_) and self.keys_[place] == key else 0.0
@@ -241,7 +246,7 @@ def score(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
     learn: which rows the counts are taken from (null: none). block: a number for rows that are read together; any rows may share
     one, results do not depend on it, but a block has to fit into a task. By default rows are dealt by hash into blocks
     of about BLOCK_BYTES. Upper-case A-Z count as lower-case. A null text is empty: its score is that of the end mark.
-    Without anything to learn from all symbols are equally likely, and the base score is 0.
+    Values travel to the blocks as 32-bit floats. Without anything to learn from all symbols are equally likely, and the base score is 0.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_column).alias("text"),
                        *([block.cast("long").alias("block")] if block is not None else []))
@@ -261,11 +266,11 @@ def score(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
     def evaluated(part: pa.Table) -> pa.Table:
         keys = part.column("key").to_numpy().view(np.uint64)
         values = log10_probabilities(keys, part.column("n").to_numpy().astype(float), pair_keys, pair_counts)
-        return pa.table({"key": part.column("key"), "value": values})
+        return pa.table({"key": part.column("key"), "value": values.astype(np.float32)})
 
     model = totals.select("key", "n", F.pmod(F.xxhash64(shared), F.lit(groups)).alias("group")).groupBy("group").applyInArrow(
-        evaluated, "key long, value double")
-    gram_values = of_grams.select("block", "key").distinct().join(model, "key").select("block", F.lit(0).cast("byte").alias("kind"), "key", "value")
+        evaluated, "key long, value float")
+    gram_values = of_grams.select("block", "key").join(model, "key").select("block", F.lit(0).cast("byte").alias("kind"), "key", "value")
 
     everywhere = Window.partitionBy("key")
     word_totals = stage(of_words.select("block", "key", F.sum("n").over(everywhere).alias("n"),
@@ -274,7 +279,7 @@ def score(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
     seen = word_totals.filter("first").agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     ends = sizes.texts
     tokens, distinct = (seen.tokens or 0) + ends, seen.distinct + (ends > 0)
-    word_values = word_totals.select("block", F.lit(1).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
+    word_values = word_totals.select("block", F.lit(1).cast("byte").alias("kind"), "key", F.col("n").cast("float").alias("value"))
     values = gram_values.unionByName(word_values)
     share = float(np.log10(tokens + distinct + 1))
 
@@ -290,7 +295,7 @@ def score(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column
         for begin, end in slices(body):
             part = body.slice(begin, end - begin)
             found, lengths = grams(part)
-            logs = look(found)
+            logs = look(found).astype(np.float64)
             columns["score"].append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
             columns["n_bytes"].append(lengths - 1)
             per_text = [np.array([*map(words.__getitem__, t.as_py().lower().split()), end_value]) for t in part]
