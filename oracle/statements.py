@@ -428,8 +428,7 @@ STATEMENTS = {
     "charges_overwritten": "SELECT vehicle, msg_start, msg_stop, soc_gain FROM s_final WHERE soc_gain > 10",
     "raw_landed": """SELECT vehicle, session, msg, ts, status FROM summaryu WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'""",
     "run_record": "SELECT '1,2' AS vehicles, CAST(min(ts) AS DATE) AS start_date, CAST(max(ts) AS DATE) AS end_date, 'run' AS folder_name FROM events",
-    "window_rows": """SELECT CAST(ts_start AS DATE) AS "window", count(*) AS rows, count(*) AS read_rows FROM u_final
-        WHERE CAST(ts_start AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY 1""",
+    "window_rows": """SELECT CAST(ts_start AS DATE) AS "window", count(*) AS rows, count(*) AS read_rows FROM u_final GROUP BY 1""",
     "events_in_order": "SELECT vehicle, session, msg, event, time, row_number() OVER (ORDER BY vehicle, time, msg, event) AS place FROM run1",
     "family_labels": "SELECT c_custkey AS vehicle, c_mktsegment AS family, 'family ' || lower(c_mktsegment) AS label FROM customer",
     "run_difference_density": f"""SELECT run, bin, round(n / (sum(n) OVER (PARTITION BY run) * width), 8) + 0.0 AS n, bin_start
