@@ -8,7 +8,9 @@ is the one whose spans hold the most letters.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,7 @@ BUCKETS = 1 << 14
 GRAMS = (1, 2, 3, 4)
 SWITCH, FOREIGN = 12.0, 50.0
 SCRIPT_SHARE = 0.02
-CACHE_WORDS = 300_000
-DOCS_AT_ONCE = 2000
+DOCS_AT_ONCE = 1000
 UNKNOWN = "und"
 
 #: First code point, last code point, script: fixed values of the Unicode standard (main blocks).
@@ -39,38 +40,55 @@ NAMES = sorted({name for *_, name in SCRIPTS}) + ["Other"]
 RESULT = "lang string, score double, spans array<struct<lang: string, first: int, last: int>>"
 
 
-def script(letter: str) -> int:
-    """Place of a letter's script in NAMES."""
-    code = ord(letter)
-    return next((NAMES.index(name) for low, high, name in SCRIPTS if low <= code <= high), len(NAMES) - 1)
-
-
-def letters(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word with its ends marked."""
-    import zlib
-
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i:i + n].encode("utf-8", "surrogatepass")) % BUCKETS + BUCKETS * g
-            for g, n in enumerate(GRAMS) for i in range(len(marked) - n + 1)]
-
-
-def counted(text: str) -> tuple[dict[int, int], dict[int, int]]:
+LOWS, HIGHS = np.array([low for low, *_ in SCRIPTS]), np.array([high for _, high, _ in SCRIPTS])
+NAMED = np.array([NAMES.index(name) for *_, name in SCRIPTS])
+
+
+def script(codes: np.ndarray) -> np.ndarray:
+    """Place of each letter's script in NAMES."""
+    block = np.searchsorted(LOWS, codes, "right") - 1
+    return np.where((block >= 0) & (codes <= HIGHS[block]), NAMED[block], len(NAMES) - 1)
+
+
+class Letters:
+    """The letters of many words at once: n-gram buckets and scripts, with the number of the word of each."""
+
+    def __init__(self, words: list[str]):
+        text = "".join([c for c in "\n".join(["", *words, ""]).lower() if c == "\n" or c.isalpha()])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = codes == 10
+        number = np.cumsum(ends) - 1
+        self.words = len(words)
+        self.letter_word, self.scripts = number[~ends], script(codes[~ends])
+        self.sizes = np.bincount(self.letter_word, minlength=len(words))
+        self.gram_word: list[np.ndarray] = []
+        self.buckets: list[np.ndarray] = []
+        for g, n in enumerate(GRAMS):  # ends of words count as a symbol at either end of a gram, never within
+            last = len(codes) - n + 1
+            hashed, inside = np.zeros(max(0, last), np.uint64), np.ones(max(0, last), bool)
+            for k in range(n):
+                hashed = (hashed ^ codes[k:last + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                hashed ^= hashed >> np.uint64(29)
+                if 0 < k < n - 1:
+                    inside &= ~ends[k:last + k]
+            inside &= ~(ends[:last] & ends[n - 1:]) if last > 0 else inside
+            self.gram_word.append(number[:max(0, last)][inside])
+            self.buckets.append((hashed[inside] % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS * g)
+
+    def word_scripts(self) -> np.ndarray:
+        """The most frequent script of each word."""
+        found = np.bincount(self.letter_word * len(NAMES) + self.scripts, minlength=self.words * len(NAMES))
+        return found.reshape(self.words, len(NAMES)).argmax(axis=1)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of n-gram buckets and of scripts in a text."""
-    found, scripts, words = {}, {}, {}
-    for word in text.split():
-        words[word] = words.get(word, 0) + 1
-    for word, n in words.items():
-        body = letters(word)
-        for g in grams(body) if body else ():
-            found[g] = found.get(g, 0) + n
-        for c in body:
-            s = script(c)
-            scripts[s] = scripts.get(s, 0) + n
-    return found, scripts
+    words = Counter(text.split())
+    letters, n = Letters(list(words)), np.array(list(words.values()), float)
+    if not words:
+        return np.zeros(len(GRAMS) * BUCKETS), np.zeros(len(NAMES))
+    grams = sum(np.bincount(b, n[w], len(GRAMS) * BUCKETS) for b, w in zip(letters.buckets, letters.gram_word))
+    return grams, np.bincount(letters.scripts, n[letters.letter_word], len(NAMES))
 
 
 class Model:
@@ -83,43 +101,29 @@ class Model:
         self.logs = table.reshape(len(langs), len(GRAMS) * BUCKETS).T.copy()
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = share >= SCRIPT_SHARE
-        self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.sizes: list[int] = []
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows", "sizes")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, known={}, rows=[], sizes=[])
-
-    def _word(self, word: str) -> int:
-        body = letters(word)
-        row = np.zeros(len(self.langs))
-        if body:
-            row = self.logs[grams(body)].sum(axis=0)
-            used = np.bincount([script(c) for c in body], minlength=len(NAMES)).argmax()
-            candidates = self.uses[:, used]
-            if candidates.any():
-                row = row - FOREIGN * ~candidates
-        place = self.known[word] = len(self.rows)
-        self.rows.append(row)
-        self.sizes.append(len(body))
-        return place
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by language, and their numbers of letters."""
+        letters = Letters(words)
+        rows = np.zeros((len(words), len(self.langs)))
+        for buckets, word in zip(letters.buckets, letters.gram_word):
+            for k in range(len(self.langs)):
+                rows[:, k] += np.bincount(word, self.logs[buckets, k], len(words))
+        candidates = self.uses[:, letters.word_scripts()].T
+        rows -= FOREIGN * (~candidates & candidates.any(axis=1, keepdims=True))
+        rows[letters.sizes == 0] = 0
+        return rows, letters.sizes
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """Language, share of the letters in its spans, and spans (language, first word, last word) of each text."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.rows, self.sizes = {}, [], []
-        known = self.known
-        words = [[known[w] if w in known else self._word(w) for w in (t or "").split()] for t in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        places = np.fromiter((p for w in words for p in w), np.int64, lengths.sum())
-        used, back = np.unique(places, return_inverse=True)
-        rows = np.array([self.rows[p] for p in used]).reshape(len(used), len(self.langs))
-        sizes = np.array([self.sizes[p] for p in used], np.int64)
+        split = [(t or "").split() for t in texts]
+        lengths = np.array([len(w) for w in split], np.int64)
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        back = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, lengths.sum())
+        rows, sizes = self.scores(list(number))
+        del split, number
         ends = np.cumsum(lengths)
-        states = viterbi(rows, back, lengths, SWITCH) if self.langs else np.zeros(len(places), np.int64)
+        states = viterbi(rows, back, lengths, SWITCH) if self.langs else np.zeros(len(back), np.int64)
         out = []
         for low, high in zip(ends - lengths, ends):
             size = sizes[back[low:high]]
@@ -176,15 +180,15 @@ def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column:
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple[str, int], int] = {}
+        grams, scripts = {}, {}
         for part in parts:
             for lang, text in zip(part.lang, part.text):
-                found, scripts = counted(text)
-                for key, n in found.items():
-                    totals[lang, key] = totals.get((lang, key), 0) + n
-                for key, n in scripts.items():
-                    totals[lang, -1 - key] = totals.get((lang, -1 - key), 0) + n
-        yield pd.DataFrame([(lang, key, n) for (lang, key), n in totals.items()], columns=["lang", "key", "n"])
+                for totals, found in zip((grams, scripts), counted(text)):
+                    totals[lang] = totals.get(lang, 0) + found
+        for lang in grams:
+            both = np.concatenate((scripts[lang][::-1], grams[lang]))  # scripts under negative keys
+            used = np.flatnonzero(both)
+            yield pd.DataFrame({"lang": lang, "key": used - len(NAMES), "n": both[used].astype(np.int64)})
 
     rows = sample.mapInPandas(count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in rows})
