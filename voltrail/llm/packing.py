@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 1024
 GROUP_TOKENS = 1 << 22
-CACHE_WORDS = 1_000_000
-DOCS_AT_ONCE = 1000
+CACHE_WORDS = 150_000
+DOCS_AT_ONCE, WORDS_AT_ONCE = 500, 2000
 #: A blank before a blank or the end of the text, after another blank: the text is then encoded in one piece.
 UNSAFE = re.compile(r"\s (?:\s|$)")
 
@@ -33,7 +33,8 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 class Encoder:
     """Token ids of texts. A byte-level tokenizer starts a new token at every blank between two words, so words
-    are encoded once and remembered; the memory is emptied when it holds CACHE_WORDS words."""
+    are encoded once and remembered, in a recent and an older generation of about CACHE_WORDS words each; what the texts
+    of a whole generation did not use is forgotten."""
 
     def __init__(self, name: str):
         import os
@@ -44,24 +45,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        parts = (texts[at:at + WORDS_AT_ONCE] for at in range(0, len(texts), WORDS_AT_ONCE))  # an encoding is far larger than its ids
+        return [np.asarray(e.ids, "<u4").tobytes() for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first, self.later = {}, {}
-        new = list({p[0] for p in parts if p} - self.first.keys())
-        self.first.update(zip(new, self._encode(new)))
-        new = list(set().union(*(p[1:] for p in parts if p)) - self.later.keys())
-        self.later.update(zip(new, self._encode([" " + w for w in new])))
-        whole = iter(self._encode([t for t, p in zip(texts, parts) if p is None]))
-        later = self.later.__getitem__
-        return [next(whole) if p is None else self.first[p[0]] + b"".join(map(later, p[1:])) for p in parts]
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        new = set().union(*(p[1:] for p in parts if p)) - self.recent.keys()
+        known = new & self.older.keys()
+        self.recent.update((w, self.older[w]) for w in known)
+        new = list(new - known)
+        self.recent.update(zip(new, self._encode([" " + w for w in new])))
+        begin = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, parts)]))
+        later = self.recent.__getitem__
+        return [next(begin) if p is None else next(begin) + b"".join(map(later, p[1:])) for p in parts]
 
 
 _encoders: dict[str, Encoder] = {}
