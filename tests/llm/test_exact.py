@@ -121,6 +121,37 @@ def test_substitutions_do_not_hide_a_passage(spark, changes):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 == decontaminate.contaminated(docs, items.limit(0)).count()
 
 
+def test_masks_meet_every_pattern_that_the_threshold_accepts():
+    """Over all patterns that no mask meets, the best (equal) - (different) of each length, by dynamic programming over the last words."""
+    span = max(max(m) for m in decontaminate.MASKS) + 1
+    met = [sum(1 << p + span - 1 - max(m) for p in m) for m in decontaminate.MASKS]
+    best, top = {0: 0}, 0
+    for n in range(1, 400):
+        step = {}
+        for last, score in best.items():
+            for equal in (0, 1):
+                now = last >> 1 | equal << span - 1
+                if not any(now & m == m for m in met):
+                    step[now] = max(score + (1 if equal else -1), step.get(now, -n))
+        best, top = step, max(top, *step.values())
+        assert n < decontaminate.SEEDED or top < min(decontaminate.MIN_WORDS, decontaminate.MIN_SHARE * n), n
+
+
+def test_short_items_and_every_accepted_pattern_of_them(spark):
+    """All patterns of equal and replaced words of items of 7 and 8 words, and copies of items of 1 to 6 words."""
+    docs, items, want = [], [], set()
+    for n in range(1, 9):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k, pattern in enumerate(itertools.product((0, 1), repeat=n)):
+            scores = [2 * sum(pattern[a:b]) - (b - a) for a in range(n) for b in range(a + 1, n + 1)]
+            docs.append((1000 * n + k, " ".join(["before", *[w if p else "other" for w, p in zip(item, pattern)], "after"])))
+            if max(scores) >= 0.6 * n if n >= 7 else all(pattern):
+                want.add((docs[-1][0], n))
+    found = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame([*items, (90, ""), (91, None)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 40
+
+
 SECRETS = [(1, 'Password = "abcdef1" x'), (2, "token: secret=abcdefgh api_key='AKIA" + "A" * 20 + "'"), (3, "password: token: abcdef123"), (4, None), (4, ""),
            (5, "ü🙂 " + "0" * 24 + " und " + "a" * 23), (None, "x AKIA" + "Z" * 16), (6, "-----BEGIN RSA PRIVATE KEY-----\nab\n-----END RSA PRIVATE KEY-----"),
            (7, 'Password = "abcdef1" x'), (8, ("passwd=" + "q" * 9 + " ") * 300)]

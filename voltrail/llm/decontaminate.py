@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Texts become hashes of their words (runs of letters and digits, lower-case). A mask keeps five positions of a span and
-ignores the others, so a seed also meets a passage with substituted words in between. The two masks
-between them meet every passage in which each third, fourth or fifth word was replaced. Document seeds are
+Texts become hashes of their words (runs of letters and digits, lower-case). A mask keeps four positions of a span and
+ignores the others, so a seed also meets a passage with substituted words in between. The four masks
+between them meet every pattern of equal and replaced words that the threshold accepts in an item of seven words or more (a test
+runs through all of them). Shorter items are met by a hash of all their words. Document seeds are
 joined with benchmark seeds; each hit names a document, an item and a diagonal, and there the whole
 item is laid over the document: the best segment by (equal words) - (different words) is its overlap.
 """
@@ -15,7 +16,9 @@ from voltrail.llm.common import broadcast_if_small, row_key
 from voltrail.session import stage
 
 #: Kept positions of each mask.
-MASKS = ((0, 1, 3, 4, 6), (0, 1, 4, 5, 8))
+MASKS = ((0, 2, 3, 4), (0, 2, 3, 5), (0, 3, 4, 5), (0, 2, 3, 7))
+#: Items of fewer words have one seed, the whole item.
+SEEDED = 7
 MIN_WORDS = 10
 MIN_SHARE = 0.6
 SEEDS_TO_BROADCAST = 1_000_000
@@ -26,14 +29,19 @@ def word_hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def whole(n: int) -> tuple[int, ...]:
+    """The mask of an item of n words, all of them kept."""
+    return tuple(range(n))
+
+
 def seeds(rows: DataFrame, hashes: str, masks=MASKS) -> DataFrame:
-    """A row (key, pos) for each mask and position of the array `hashes`, beside the other columns."""
+    """A row (key, pos) for each mask and position of the array `hashes`, beside the other columns. A key names its mask."""
     used = sorted({p for mask in masks for p in mask})
     shifted = F.arrays_zip(*[(F.col(hashes) if p == 0 else F.slice(hashes, F.lit(p + 1), F.size(hashes))).alias(f"w{p}") for p in used])
     others = [c for c in rows.columns if c != hashes]
     at = rows.select(*others, F.posexplode(shifted).alias("pos", "w"))
-    keys = F.array(*[F.when(F.col(f"w.w{max(mask)}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"w.w{p}") for p in mask]))
-                     for m, mask in enumerate(masks)])
+    keys = F.array(*[F.when(F.col(f"w.w{max(mask)}").isNotNull(), F.xxhash64(F.lit(str(mask)), *[F.col(f"w.w{p}") for p in mask]))
+                     for mask in masks])
     return at.select(*others, "pos", F.explode(keys).alias("key")).filter("key is not null")
 
 
@@ -65,16 +73,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """One row per document row and item that overlap: key (see row_key), doc_id, item_id, item_words, equal_words,
     overlap (equal less different words of the best segment), start (its first word in the document).
 
-    A pair counts if its overlap is at least min(min_words, min_share of the item's words). Items shorter than the
-    shortest mask are too short to tell from ordinary text and are not looked for; null and empty texts have no
-    words. Null ids stay null; rows equal in id and text are reported once, as are repeated items; empty tables give no rows.
+    A pair counts if its overlap is at least min(min_words, min_share of the item's words). Items of fewer than SEEDED words
+    count only where all their words stand in a row, as a part of them is too short to tell from ordinary text; null and empty texts
+    have no words and items without words are not looked for. Null ids stay null; rows equal in id and text are reported once, as are repeated items; empty tables give no rows.
     """
     sources = docs.select(row_key(id_column, text_column).alias("key_"), F.col(text_column).alias("text_"))
     items = stage(benchmark.select(F.col(item_column).alias("item_id"), word_hashes(item_text).alias("item"))
                   .distinct().withColumn("item_key", F.xxhash64("item_id", F.to_json("item"))), "items")
-    wanted = seeds(items.select("item_key", "item"), "item", masks).select("item_key", "key", F.col("pos").alias("at")).distinct()
-    wanted = broadcast_if_small(wanted, SEEDS_TO_BROADCAST, "seeds")
-    found = seeds(sources.select("key_", word_hashes("text_").alias("words")), "words", masks)
+    lengths = [r.n for r in items.select(F.size("item").alias("n")).filter(F.col("n").between(1, SEEDED - 1)).distinct().orderBy("n").collect()]
+    wanted = seeds(items.filter(F.size("item") >= SEEDED).select("item_key", "item"), "item", masks)
+    for n in lengths:
+        wanted = wanted.unionByName(seeds(items.filter(F.size("item") == n).select("item_key", "item"), "item", (whole(n),)))
+    wanted = broadcast_if_small(wanted.select("item_key", "key", F.col("pos").alias("at")).distinct(), SEEDS_TO_BROADCAST, "seeds")
+    found = seeds(sources.select("key_", word_hashes("text_").alias("words")), "words", (*masks, *map(whole, lengths)))
     hits = found.join(wanted, "key").select("key_", "item_key", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     hits = broadcast_if_small(hits, name="hits").alias("h")
     of = sources.join(hits, F.col("h.key_").eqNullSafe(sources["key_"])).select(
