@@ -55,6 +55,17 @@ def test_toxicity_on_rows_kept_apart(spark):
     assert 0 <= empty.score("idiot")[0] < 0.5
 
 
+def test_a_text_with_any_shared_word_has_neighbours(spark):
+    """Every word is in one example only: none of them tells the classes apart."""
+    rows = [(i, f"rare{i} the", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), "toxic", F.lit(True))
+    asked = spark.createDataFrame([(100 + i, f"Rare{i}! unseen") for i in range(60)] + [(300, "the unseen")], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(asked, model).collect()}
+    assert all(got[100 + i].neighbours == [i] and got[100 + i].similarities[0] == pytest.approx(1) for i in range(60))
+    assert got[300].neighbours == [] and got[300].score == pytest.approx(model.none)
+
+
 def test_quality_on_rows_kept_apart(spark):
     folder = FOLDER.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is the set of examples. Terms are the words whose presence differs between the
-classes (chi-square), a bounded list. Example vectors (1 + ln tf) * idf have length 1 and lie in an inverted index whose
+A bounded sample of labelled texts is the set of examples. Terms are all their words but stop words (in over half of the
+examples); a word weighs the more, the more its presence differs between the classes (chi-square). Example vectors
+(1 + ln tf) * idf * weight have length 1 and lie in an inverted index whose
 postings are cut into blocks of examples, with the largest weight of each term in each block. A
 query adds up these maxima for a bound per block, opens blocks in descending order of their bounds,
 and stops once no bound reaches the k-th best: the result is exact. Neighbours vote with weights that grow
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltrail.llm.common import labelled_sample
 
 PER_CLASS = 4000
-TERMS = 2048
-#: A listed term differs between the classes beyond chance (chi-square, for many words at once) and by this share of the largest possible
-#: chi-square; words that only a family of near copies or one passage shares stay below it.
-CHI_SQUARE, ASSOCIATION = 24.0, 0.05
+#: Words in more than this share of the examples are stop words, unless they differ between the classes.
+STOP_SHARE = 0.5
+#: A word that differs between the classes beyond chance (chi-square, for many words at once) and by this share of the largest possible
+#: chi-square has full weight; words that only a family of near copies or one passage shares stay below it and have the small one.
+CHI_SQUARE, ASSOCIATION, OTHERS = 24.0, 0.05, 0.02
 NEIGHBOURS = 15
-BLOCK, OPENED = 64, 8
+BLOCK = 64
+#: Blocks opened at first; each further lot is twice as large.
+OPENED = 8
 #: ASCII other than letters and digits ends a word.
 ENDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -39,38 +43,48 @@ def words(text: str) -> list[bytes]:
 
 
 class BlockMaxIndex:
-    """Examples as rows of (term, weight); exact k nearest by inner product of unit vectors."""
-
-    def __init__(self, rows: list[dict[int, float]], terms: int):
-        self.size = len(rows)
-        self.blocks = -(-len(rows) // BLOCK)
-        entries = sorted((t, e, w) for e, row in enumerate(rows) for t, w in row.items())
-        term = np.array([t for t, _, _ in entries], np.int64)
-        self.example = np.array([e for _, e, _ in entries], np.int64)
-        self.weight = np.array([w for _, _, w in entries], np.float64)
-        cell = term * self.blocks + self.example // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
+    """Examples as rows of (term, weight); exact k nearest by inner product of unit vectors.
+
+    A cell is a term in a block of examples that holds it; only such cells are stored.
+    """
+
+    def __init__(self, rows: Iterable[dict[int, float]], terms: int):
+        packed = [(np.fromiter(row, np.int32, len(row)), np.fromiter(row.values(), np.float64, len(row))) for row in rows]
+        self.size = len(packed)
+        self.blocks = -(-len(packed) // BLOCK)
+        term = np.concatenate([t for t, _ in packed] or [np.zeros(0)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in packed] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(packed), dtype=np.int32), [len(t) for t, _ in packed])
+        del packed
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        cells, first = np.unique(term[order] * max(1, self.blocks) + self.example // BLOCK, return_index=True)
+        self.block = (cells % max(1, self.blocks)).astype(np.int32)
+        self.begin = np.append(first, len(order))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(cells, np.arange(terms + 1) * max(1, self.blocks))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities, best first, ties to the earlier example; only similarities above 0."""
-        terms, weights = np.array(list(query), np.int64), np.array(list(query.values()))
-        bounds = weights @ self.most[terms]
+        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        cells, owner = spread(self.of_term[terms], self.of_term[terms + 1])
+        block, weights = self.block[cells], weights[owner]
+        bounds = np.bincount(block, weights * self.most[cells], self.blocks)
+        by_block = np.argsort(block, kind="stable")
+        cells, weights = cells[by_block], weights[by_block]
+        of_block = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         order = np.argsort(-bounds, kind="stable")
         found, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for at in range(0, len(order), OPENED):
-            opened = order[at:at + OPENED]
+        at, step = 0, OPENED
+        while at < len(order):
+            opened = order[at:at + step]
+            at, step = at + step, 2 * step
             opened = opened[(bounds[opened] > 0) & (bounds[opened] >= least - 1e-12)]
             if not len(opened):
                 break
-            cells = (terms[:, None] * self.blocks + opened).ravel()
-            lengths = self.begin[cells + 1] - self.begin[cells]
-            first = np.cumsum(lengths) - lengths
-            places = np.arange(lengths.sum()) + np.repeat(self.begin[cells] - first, lengths)
-            slot = np.repeat(np.tile(np.arange(len(opened)), len(terms)), lengths) * BLOCK + self.example[places] % BLOCK
-            scores = np.bincount(slot, self.weight[places] * np.repeat(np.repeat(weights, len(opened)), lengths), len(opened) * BLOCK)
+            read, slot = spread(of_block[opened], of_block[opened + 1])
+            places, of = spread(self.begin[cells[read]], self.begin[cells[read] + 1])
+            scores = np.bincount(slot[of] * BLOCK + self.example[places] % BLOCK, self.weight[places] * weights[read][of], len(opened) * BLOCK)
             hit = np.flatnonzero(scores)
             new = opened[hit // BLOCK] * BLOCK + hit % BLOCK
             found, sims = np.concatenate((found, new)), np.concatenate((sims, scores[hit]))
@@ -82,20 +96,34 @@ class BlockMaxIndex:
         return found, sims
 
 
+def spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of all ranges, one after the other, and the range of each."""
+    lengths = end - begin
+    owner = np.repeat(np.arange(len(begin)), lengths)
+    return np.arange(lengths.sum()) + (begin - (np.cumsum(lengths) - lengths))[owner], owner
+
+
+def unpacked(counts: tuple[bytes, bytes]) -> dict[int, int]:
+    terms, numbers = (np.frombuffer(c, np.int32).tolist() for c in counts)
+    return dict(zip(terms, numbers))
+
+
 class Model:
     """Terms with idf, the index, the examples' ids and labels, and the calibration."""
 
-    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[dict[bytes, int]], idf: dict[bytes, float], share: float):
+    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[tuple[bytes, bytes]], names: list[bytes],
+                 idf: np.ndarray, share: float):
+        """`counts` has term numbers and their counts of each example as packed 32-bit numbers; `names` are sorted."""
         self.ids, self.labels = np.array(ids, np.int64), labels
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.index = BlockMaxIndex([self.vector(c) for c in counts], len(self.terms))
+        self.terms = {t: i for i, t in enumerate(names)}
+        self.idf = idf
+        self.index = BlockMaxIndex((self.vector(unpacked(c)) for c in counts), len(self.terms))
         self.none = (share * 0.5 + 0.25) / 2
         self.slope, self.shift = 1.0, 0.0
         self._calibrate(counts, share)
 
-    def vector(self, counts: dict[bytes, int]) -> dict[int, float]:
-        raw = {self.terms[t]: (1 + math.log(n)) * self.idf[self.terms[t]] for t, n in sorted(counts.items())}
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())}
         length = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / length for t, w in raw.items()} if length else {}
 
@@ -105,13 +133,13 @@ class Model:
         toxic = weights[self.labels[found] == 1].sum()
         return math.log((toxic + 1) / (weights.sum() - toxic + 1))
 
-    def _calibrate(self, counts: list[dict[bytes, int]], share: float) -> None:
+    def _calibrate(self, counts: list[tuple[bytes, bytes]], share: float) -> None:
         """Class weights make the examples as frequent as their class among all labelled rows."""
         ones = max(1, int(self.labels.sum()))
         weight = np.where(self.labels == 1, share / ones, (1 - share) / max(1, len(self.labels) - ones))
         votes, with_votes, bare = [], [], []
         for e, c in enumerate(counts):
-            query = self.vector(c)
+            query = self.vector(unpacked(c))
             found, sims = self.index.nearest(query, NEIGHBOURS, e) if query else ((), ())
             (with_votes if len(found) else bare).append(e)
             if len(found):
@@ -133,7 +161,7 @@ class Model:
         self.slope, self.shift = max(float(a), 0.0), float(b)
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        counts = Counter(w for w in words(text) if w in self.terms)
+        counts = Counter(self.terms[w] for w in words(text) if w in self.terms)
         if not counts:
             return self.none, [], []
         found, sims = self.index.nearest(self.vector(counts), NEIGHBOURS)
@@ -144,8 +172,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column: str = "doc_id", text_column: str = "text",
-        per_class: int = PER_CLASS, terms: int = TERMS) -> Model:
-    """A model from at most `per_class` labelled rows of each class and at most `terms` words."""
+        per_class: int = PER_CLASS) -> Model:
+    """A model from at most `per_class` labelled rows of each class and all their words but stop words."""
     sample = labelled_sample(docs, labels, label, learn, per_class, id_column, text_column)
     sample = sample.groupBy("text", "y").agg(F.min("id").alias("id"))  # copies are one example
     shares = labels.filter(F.col(label).isin(0, 1)).agg(F.count("*").alias("n"), F.sum(label).alias("toxic")).first()
@@ -164,25 +192,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column
     a, b = F.col("a"), F.col("b")
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / F.nullif((a + b) * (n - a - b) * F.lit(float(n0)) * n1, F.lit(0.0))
     per_term = rows.groupBy("term").agg(F.sum(F.col("y")).cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    best = per_term.withColumn("chi", chi).filter(F.col("chi") >= max(CHI_SQUARE, ASSOCIATION * n)).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    idf = {bytes(r.term): math.log((n + 1) / (r.a + r.b + 1)) + 0.1 for r in best}
-    wanted = set(idf)
+    telling = F.coalesce(F.col("chi") >= max(CHI_SQUARE, ASSOCIATION * n), F.lit(False))
+    terms = per_term.withColumn("chi", chi).withColumn("telling", telling).filter(F.col("telling") | (a + b <= max(1.0, STOP_SHARE * n)))
+    listed = terms.select("term", (a + b).alias("n"), "telling").toArrow().sort_by("term")
+    names = listed["term"].to_pylist()
+    idf = (np.log((n + 1) / (listed["n"].to_numpy() + 1)) + 0.1) * np.where(listed["telling"].to_numpy(), 1, OTHERS)
+    del listed
+    shared = sample.sparkSession.sparkContext.broadcast(names)
 
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = {t: i for i, t in enumerate(shared.value)}
         for part in parts:
             for id_, y, text in zip(part.id, part.y, part.text):
-                found = Counter(w for w in words(text) if w in wanted)
-                yield pd.DataFrame({"id": [id_], "y": [y], "terms": [list(found)], "ns": [list(found.values())]})
+                found = Counter(numbers[w] for w in words(text) if w in numbers)
+                yield pd.DataFrame({"id": [id_], "y": [y], "terms": [np.array(list(found), np.int32).tobytes()],
+                                    "ns": [np.array(list(found.values()), np.int32).tobytes()]})
 
-    kept = sorted(sample.mapInPandas(keep, "id long, y int, terms array<binary>, ns array<int>").collect(), key=lambda r: r.id)
-    return Model([r.id for r in kept], np.array([r.y for r in kept], np.int64),
-                 [dict(zip(map(bytes, r.terms), r.ns)) for r in kept], idf, share)
+    kept = sample.mapInPandas(keep, "id long, y int, terms binary, ns binary").toArrow().sort_by("id")
+    return Model(kept["id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), list(zip(kept["terms"].to_pylist(), kept["ns"].to_pylist())),
+                 names, idf, share)
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", to: str = "toxicity") -> DataFrame:
     """The rows with a struct (score, neighbours, similarities): calibrated probability, and the ids of the three nearest examples.
 
-    Null and empty texts, and texts without a listed term, get the frequency of the label among such examples.
+    Null and empty texts, and texts without a word of the examples, get the frequency of the label among such examples.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
