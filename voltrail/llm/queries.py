@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import covering_simhash, decontaminate, hnsw, language_spans, packing, partial_matching, quality, secret_ledger, toxicity, window_dedup
-from voltrail.llm.common import held_out, ship, table
+from voltrail.llm import (covering_simhash, decontaminate, hnsw, language_spans, merkle_manifest, packing, partial_matching, quality, secret_ledger,
+                          toxicity, window_dedup)
+from voltrail.llm.common import LOWER, UPPER, held_out, remainder, ship, table
 from voltrail.session import stage
 
 #: Neighbouring rows of a file that op4 scores together.
@@ -77,9 +78,16 @@ def op10_quality(spark, folder):
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_manifest(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(remainder("doc_id", 5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle_manifest.proofs(merkle_manifest.build(docs, shown={"text": tampered})).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def all_queries():
     return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op4_language_model, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
-                                    op10_quality)}
+                                    op10_quality, op12_manifest)}
 
 
 def _spans_sql() -> str:
@@ -93,6 +101,47 @@ def _spans_sql() -> str:
     return " UNION ALL ".join(each)
 
 
+def _crc32(text: str) -> str:
+    """crc32 of a short ASCII text in SQL, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {bits}))"
+
+
+def _manifest_sql() -> str:
+    """Every source's list of nodes is reduced level by level; a leaf's siblings are cut from the lists of its levels."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    rise = "list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))"
+    beside = "array_to_string(nodes[spot - spot % 16 + 1:spot], ''), array_to_string(nodes[spot + 2:spot - spot % 16 + 16], '')"
+    return f"""
+        WITH RECURSIVE hashed AS (
+            SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0
+                THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf('text')} END AS shown
+            FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS place FROM hashed),
+        levels(source, level, nodes) AS (
+            SELECT source, 0, list(leaf ORDER BY place) FROM placed GROUP BY source
+            UNION ALL SELECT source, level + 1, {rise} FROM levels WHERE len(nodes) > 1),
+        tops AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1),
+        upper(level, nodes) AS (
+            SELECT 0, list(subroot ORDER BY place) FROM tops UNION ALL SELECT level + 1, {rise} FROM upper WHERE len(nodes) > 1),
+        walk(doc_id, leaf, shown, source, place, level, spot, proof, node) AS (
+            SELECT doc_id, leaf, shown, source, place, 0, place, '', shown FROM placed
+            UNION ALL SELECT doc_id, leaf, shown, source, place, level + 1, spot // 16, proof || lefts || rights, sha256(lefts || node || rights)
+            FROM (SELECT w.*, unnest([struct_pack(lefts := x[1], rights := x[2])], recursive := true)
+                  FROM (SELECT w.*, [{beside}] AS x FROM walk w JOIN levels l ON w.source IS NOT DISTINCT FROM l.source AND w.level = l.level AND len(nodes) > 1) w)),
+        inner_ends AS (SELECT w.*, t.subroot, t.place AS tree FROM walk w JOIN tops t ON w.source IS NOT DISTINCT FROM t.source
+                       JOIN (SELECT source, max(level) AS top FROM levels GROUP BY source) m ON w.source IS NOT DISTINCT FROM m.source AND w.level = m.top),
+        climb(doc_id, leaf, subroot, level, spot, proof, node) AS (
+            SELECT doc_id, leaf, subroot, 0, tree, proof, node FROM inner_ends
+            UNION ALL SELECT doc_id, leaf, subroot, level + 1, spot // 16, proof || lefts || rights, sha256(lefts || node || rights)
+            FROM (SELECT c.*, unnest([struct_pack(lefts := x[1], rights := x[2])], recursive := true)
+                  FROM (SELECT c.*, [{beside}] AS x FROM climb c JOIN upper u ON c.level = u.level AND len(nodes) > 1) c))
+        SELECT doc_id, leaf, subroot, r.nodes[1] AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.nodes[1] AS verified
+        FROM climb c JOIN (SELECT * FROM upper WHERE len(nodes) = 1) r ON c.level = r.level"""
+
+
 def statements():
     """SQL for DuckDB, where it can express a query."""
     counts = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS n_{r}" for r in secret_ledger.BASE)
@@ -117,4 +166,5 @@ def statements():
             SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}) FILTER (WHERE rule IN ({base})), '')) AS base_sha256,
                 coalesce(string_agg({one}), '') AS spans
             FROM texts LEFT JOIN good USING (doc_id) GROUP BY doc_id""",
+        "op12_manifest": _manifest_sql(),
     }
