@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import (covering_simhash, decontaminate, hnsw, language_spans, merkle_manifest, packing, partial_matching, quality, secret_ledger,
+from voltrail.llm import (covering_simhash, decontaminate, hnsw, language_spans, line_runs, merkle_manifest, packing, partial_matching, quality, secret_ledger,
                           toxicity, window_dedup)
 from voltrail.llm.common import LOWER, UPPER, held_out, remainder, ship, table
 from voltrail.session import stage
@@ -85,9 +85,14 @@ def op12_manifest(spark, folder):
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_lines(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return line_runs.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def all_queries():
     return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op4_language_model, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
-                                    op10_quality, op12_manifest)}
+                                    op10_quality, op12_manifest, op13_lines)}
 
 
 def _spans_sql() -> str:
@@ -167,4 +172,13 @@ def statements():
                 coalesce(string_agg({one}), '') AS spans
             FROM texts LEFT JOIN good USING (doc_id) GROUP BY doc_id""",
         "op12_manifest": _manifest_sql(),
+        "op13_lines": rf"""
+            WITH split AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+            lines AS (SELECT doc_id, r, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM split),
+            keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS k FROM lines),
+            shared AS (SELECT k, max(doc_id) AS largest FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+            judged AS (SELECT y.*, coalesce(doc_id < largest, false) AS gone FROM keyed y LEFT JOIN shared USING (k))
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            FROM judged GROUP BY r, doc_id""",
     }
