@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.llm import (covering_simhash, decontaminate, hnsw, language_spans, line_runs, merkle_manifest, packing, partial_matching, quality, secret_ledger,
+from voltrail.llm import (cover_tree, covering_simhash, decontaminate, hnsw, language_spans, line_runs, merkle_manifest, packing, partial_matching, quality, secret_ledger,
                           toxicity, window_dedup)
 from voltrail.llm.common import LOWER, UPPER, held_out, remainder, ship, table
 from voltrail.session import stage
@@ -78,6 +78,14 @@ def op10_quality(spark, folder):
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = rows.filter(whole).select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return cover_tree.mine(scaled, F.col("id") % 100 == 0)
+
+
 def op12_manifest(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(remainder("doc_id", 5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
@@ -92,7 +100,7 @@ def op13_lines(spark, folder):
 
 def all_queries():
     return {f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_decontamination, op4_language_model, op5_windows, op6_language, op7_secrets, op8_packing, op9_simhash,
-                                    op10_quality, op12_manifest, op13_lines)}
+                                    op10_quality, op11_negatives, op12_manifest, op13_lines)}
 
 
 def _spans_sql() -> str:
@@ -171,6 +179,20 @@ def statements():
             SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}) FILTER (WHERE rule IN ({base})), '')) AS base_sha256,
                 coalesce(string_agg({one}), '') AS spans
             FROM texts LEFT JOIN good USING (doc_id) GROUP BY doc_id""",
+        "op11_negatives": """
+            WITH good AS (
+                SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            met AS (SELECT a.id AS anchor, hash(a.label, a.v) AS twin, b.id, b.label = a.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+                    FROM good a JOIN good b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+            positives AS (SELECT anchor, twin, id, score, row_number() OVER (PARTITION BY anchor, twin ORDER BY score DESC, id) AS place FROM met WHERE same),
+            fits AS (SELECT p.*, n.id AS negative, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.twin, p.place ORDER BY n.score DESC, n.id) AS rank
+                     FROM positives p JOIN met n USING (anchor, twin)
+                     WHERE p.place <= 5 AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+            SELECT anchor AS anchor_id, id AS positive_id, rank, negative AS negative_id, score AS positive_score, negative_score
+            FROM fits WHERE rank <= 10""",
         "op12_manifest": _manifest_sql(),
         "op13_lines": rf"""
             WITH split AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
