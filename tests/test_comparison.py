@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -46,6 +47,25 @@ def test_overlaps_match_brute_force(spark):
     assert sorted(map(tuple, pairs)) == expected
 
 
+def test_overlaps_of_one_busy_vehicle_are_not_compared_all_with_all(spark):
+    """32,000 by 32,000 charges of one vehicle, of a minute to weeks; only charges that are near each other are compared."""
+    n = 32_000
+    row = lambda shift, long: spark.range(n).select(
+        F.lit("v").alias("vehicle"), (F.col("id") * 3600 + shift).alias("a"),
+        (F.col("id") * 3600 + shift + F.when(F.col("id") % 8000 == 7, long).when(F.col("id") % 2 == 0, 60).otherwise(3000)).alias("b"))
+    s, l = row(0, 2_000_000).withColumnsRenamed({"a": "sa", "b": "sb"}), row(1800, 90_000).withColumnsRenamed({"a": "la", "b": "lb"})
+    meet = (F.col("sa") <= F.col("lb")) & (F.col("la") <= F.col("sb"))
+    began = time.perf_counter()
+    got = intervals.overlap_pairs(s, l, ["vehicle"], (F.col("sa"), F.col("sb")), (F.col("la"), F.col("lb")), 60, meet).select("sa", "la").collect()
+    assert time.perf_counter() - began < 60
+    length = lambda i, long: long if i % 8000 == 7 else 60 if i % 2 == 0 else 3000
+    left, want = [(i * 3600, i * 3600 + length(i, 2_000_000)) for i in range(n)], []
+    for j in range(n):
+        la, lb = j * 3600 + 1800, j * 3600 + 1800 + length(j, 90_000)
+        want += [(left[i][0], la) for i in {*range(max(0, j - 1), min(n, j + 27)), *range(7, min(n, j + 1), 8000)} if left[i][0] <= lb and la <= left[i][1]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20_000
+
+
 def test_overlap_counts_over_all_vehicles(spark):
     s, l = spans(3, 80, 0), spans(4, 80) + [("c", stop, start) for _, start, stop in spans(6, 40, 0)] + [("c", 400_000, -400_000), ("d", 90_000, 10)]
     got = compare.overlaps_any_vehicle(charges(spark, s), charges(spark, l)).select("vehicle", "start", "stop", "overlaps").collect()

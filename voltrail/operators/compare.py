@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voltrail.functions.clock import hours_between
 from voltrail.operators.dedup import first_per_key
 from voltrail.operators.intervals import overlap_pairs
-from voltrail.operators.refine import TIME_BIN
 from voltrail.schemas import COMMON_COLUMNS
 
 DAY, BLOCK = 86400, 512
+OVERLAP_BIN = 60  # seconds of the finest bins
 MAX_HOURS = 50
 DIFFERENCE_HOURS = 40
 
@@ -62,7 +62,7 @@ def _hull(suffix: str) -> tuple[Column, Column]:
 def overlapping(status: DataFrame, slope: DataFrame) -> DataFrame:
     """Charges of one vehicle that both methods saw at the same time, and their difference in hours."""
     s, l = suffixed(status, "_s", ("vehicle",)), suffixed(slope, "_l", ("vehicle",))
-    pairs = overlap_pairs(s, l, ["vehicle"], _hull("_s"), _hull("_l"), TIME_BIN, _touching())
+    pairs = overlap_pairs(s, l, ["vehicle"], _hull("_s"), _hull("_l"), OVERLAP_BIN, _touching())
     return pairs.withColumn("abs_diff", F.abs(F.col("hours_s") - F.col("hours_l")))
 
 
