@@ -56,6 +56,17 @@ def test_settle_against_brute_force(spark):
     assert socs(battery_log.settle_soc(battery(spark, rows))) == brute_settle(rows)
 
 
+def test_settle_a_long_session_with_one_clock_value(spark):
+    """A stuck clock puts 200,000 rows at the same second; the work stays linear."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit("a").alias("vehicle"), F.lit(1).cast("long").alias("session"), F.lit(68).alias("msg_type"), F.col("id").alias("msg"),
+                                 F.lit(30.0).cast("float").alias("rts"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("soc"))
+    known = [i for i in range(n) if i % 3]
+    for mode, want in (("compact", known[-1]), ("aligned", None)):
+        got = battery_log.settle_soc(rows, null_mode=mode).groupBy("soc").count().collect()
+        assert [tuple(r) for r in got] == [(want if mode == "compact" else (n - 1 if (n - 1) % 3 else None), n)]
+
+
 def test_recover_boundaries(spark):
     rows = [("a", 1, 0, 99, 999, 0), ("a", 2, 300, 99, 50, 0), ("b", 1, 0, 99, 999, 0), ("b", 2, 301, 99, 50, 0),
             ("c", 1, 0, 99, None, 0), ("c", 2, 10, 99, 50, 0)]
@@ -164,6 +175,70 @@ def test_final_schema_and_invariants(spark, small):
         assert a["vehicle"] != b["vehicle"] or a["ts_stop"] <= b["ts_start"]
 
 
+@pytest.mark.parametrize("piece", [None, 12])
+def test_chain_of_steps_on_random_series(spark, piece):
+    """Random plugs, breaks, ties of messages over sessions and null states; whole and cut series, against a plain loop."""
+    rng = random.Random(8)
+    rows = []
+    for v in range(5):
+        at = 0
+        for m in range(150):
+            at += rng.choice([5, 20, 59, 60, 61, 400])
+            rows.append((f"v{v}", 1 + m // 70, 68, m - m // 9, T0 + timedelta(seconds=at), 99.0, None, None, rng.choice([10, 20, 30]), 0, rng.choice([1, 1, 0, None, 3]), 25))
+    seen, unique = set(), []
+    for r in rows:
+        if (r[0], r[1], r[3]) not in seen:
+            seen.add((r[0], r[1], r[3]))
+            unique.append(r)
+    frame = spark.createDataFrame(unique, SCHEMA)
+
+    def brute(stop_gap):
+        out = []
+        for v in sorted({r[0] for r in unique}):
+            line = sorted((r for r in unique if r[0] == v), key=lambda r: (r[3], r[1], r[2]))
+            marks = [("plug" if b[10] == 1 and a[10] not in (1, None) else "unplug" if a[10] == 1 and b[10] != 1 else None, b) for a, b in zip(line, line[1:])]
+            marks = [(k, r) for k, r in marks if k]
+            kept = [(k, r) for i, (k, r) in enumerate(marks) if (k == "plug" and (i + 1 == len(marks) or marks[i + 1][0] == "unplug"))
+                    or (k == "unplug" and (i == 0 or marks[i - 1][0] == "plug"))]
+            charges = [(a[1], b[1]) for a, b in zip(kept, kept[1:]) if a[0] == "plug" and b[0] == "unplug"]
+            gap = [(b[0][4] - a[1][4]).total_seconds() for a, b in zip(charges, charges[1:])]
+            before, after = [None, *gap], [*gap, None]
+            apart = lambda g: g is None or g > 60
+            points = [(c[0][3], 0, c[0]) for c, g in zip(charges, before) if apart(g)]
+            points += [(c[1][3], 1, c[1]) for c, g in zip(charges, before if stop_gap == "previous" else after) if apart(g)]
+            points.sort(key=lambda p: p[:2])
+            for i, (msg, kind, r) in enumerate(points):
+                opens = [p for p in points[:i] if p[1] == 0]
+                if kind == 1 and opens and opens[-1][0] < msg and r[8] >= opens[-1][2][8]:
+                    out.append((v, opens[-1][0], msg))
+        return out
+
+    if piece:
+        spark.conf.set("spark.voltrail.series.maxRows", str(piece))
+    try:
+        for stop_gap in ("previous", "next"):
+            got = S.grouped(frame, F.lit(T0.date()), stop_gap=stop_gap).select("vehicle", "msg_start", "msg_stop").collect()
+            assert sorted(map(tuple, got)) == sorted(brute(stop_gap)) and len(got) > 20
+    finally:
+        spark.conf.unset("spark.voltrail.series.maxRows")
+
+
+def test_long_vehicles_are_cut_once(spark, small, monkeypatch):
+    """All messages are sorted and written once for the whole chain, the events once more; no later step cuts or writes again."""
+    from voltrail.operators import series
+    frames, sorts, written = type(spark.range(1)), [], []
+    plain_sort, plain_stage = frames.repartitionByRange, series.stage
+    monkeypatch.setattr(frames, "repartitionByRange", lambda df, *columns: sorts.append(columns) or plain_sort(df, *columns))
+    monkeypatch.setattr(series, "stage", lambda df, name="stage": written.append(name) or plain_stage(df, name))
+    frame = battery_log.unify(V.remote(spark, small), V.summary(spark, small))
+    spark.conf.set("spark.voltrail.series.maxRows", "25")
+    try:
+        S.charges(frame, F.lit(T0.date()))
+    finally:
+        spark.conf.unset("spark.voltrail.series.maxRows")
+    assert len(sorts) == 1 and written == ["long-keys", "long-series", "events"]
+
+
 def test_long_vehicles_give_the_same_charges(spark, small):
     frame = battery_log.unify(V.remote(spark, small), V.summary(spark, small))
     plain = sorted(map(tuple, S.charges(frame, F.lit(T0.date())).collect()), key=str)

@@ -48,6 +48,23 @@ class Series:
     def with_columns(self, columns: dict[str, Column]) -> "Series":
         return replace(self, rows=self.rows.withColumns(columns))
 
+    def without(self, *columns: str) -> "Series":
+        return replace(self, rows=self.rows.drop(*columns))
+
+    def where(self, condition: Column) -> "Series":
+        return replace(self, rows=self.rows.filter(condition))
+
+    def select(self, columns: Sequence[Column | str], order: Sequence[str]) -> "Series":
+        """Other columns and another order for the same rows; within a piece and from piece to piece the order must be the same."""
+        marks = MARKS if self.long else ()
+        return replace(self, rows=self.rows.select(*columns, *marks), order=tuple(order))
+
+    def owned(self, name: str = "series") -> "Series":
+        """The series without copies of rows. A cut one is written, since later steps read it several times; it keeps its pieces."""
+        if self.long is None:
+            return self
+        return replace(self, rows=stage(self.rows.filter("_own"), name))
+
     def own_rows(self) -> DataFrame:
         """The rows without copies and marks."""
         if self.long is None:
@@ -165,6 +182,29 @@ def carry(series: Series, values: dict[str, Carried]) -> Series:
     return replace(series, rows=rows.drop(*[f"_carried_{n}" for n in values]))
 
 
+def neighbours(series: Series, before: dict[str, Column | str], after: dict[str, Column | str]) -> Series:
+    """Add values of the row before and of the row after; null at the ends of the series.
+
+    In a cut series, which must be without copies of rows, the first and last row of each piece are handed to the next
+    piece that has rows, by one row per piece.
+    """
+    by = series.window()
+    shifted = {**{n: F.lag(v).over(by) for n, v in before.items()}, **{n: F.lead(v).over(by) for n, v in after.items()}}
+    if series.long is None:
+        return series.with_columns(shifted)
+    piece = [*series.keys, "_piece"]
+    place = F.struct(*series.order)
+    values = lambda side: F.struct(F.lit(True).alias("_is"), *[v.alias(n) if isinstance(v, Column) else F.col(v).alias(n) for n, v in side.items()])
+    ends = series.rows.groupBy(*piece).agg(F.max_by(values(before), place).alias("_end"), F.min_by(values(after), place).alias("_begin"))
+    pieces = Window.partitionBy(*series.keys).orderBy("_piece")
+    ends = ends.select(*piece, F.lag("_end").over(pieces).alias("_end"), F.lead("_begin").over(pieces).alias("_begin"))
+    rows = series.rows.withColumns({**shifted, "_first": F.lag(F.lit(1)).over(by).isNull(), "_last": F.lead(F.lit(1)).over(by).isNull()})
+    rows = rows.join(ends, piece).withColumns({
+        **{n: F.when(F.col("_first"), F.col("_end")[n]).otherwise(F.col(n)) for n in before},
+        **{n: F.when(F.col("_last"), F.col("_begin")[n]).otherwise(F.col(n)) for n in after}})
+    return replace(series, rows=rows.drop("_first", "_last", "_end", "_begin"))
+
+
 def running_total(series: Series, name: str, value: Column) -> Series:
     """Sum of ``value`` from the start of the series to each row; copies of rows do not count."""
     if series.long is None:

@@ -1,16 +1,21 @@
-"""Method S: charges between plug and unplug events."""
+"""Method S: charges between plug and unplug events.
+
+A vehicle's messages are put in order once. Its steps hand one series on: rows of a vehicle that is too long for one task are
+cut into pieces by one parallel sort, with enough rows copied over the cuts for the steps that look at messages; from the events on,
+which are written once, what a step needs from another piece comes with one row per piece.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 
 from voltrail.operators import plugs
-from voltrail.operators.battery_log import recover_soc, settle_soc
+from voltrail.operators.battery_log import ORDER, RECOVER_ROWS, recovered, settle_soc
 from voltrail.operators.dedup import dedup_messages
-from voltrail.operators.series import LongSeries, by_length, find_long, together
+from voltrail.operators.series import LongSeries, Series, as_series, by_length, find_long, together
 
 KEYS = ("vehicle",)
 
@@ -20,55 +25,47 @@ def _deduplicated(battery: DataFrame, keys: Sequence[str], long: LongSeries | No
     return dedup_messages(together(battery, keys, long), key)
 
 
-def _run(battery: DataFrame, keys: Sequence[str], step) -> DataFrame:
-    """Run a step on ordinary vehicles and, cut into pieces, on long ones."""
-    return by_length(battery, find_long(battery, keys), step)
+def _run(battery: DataFrame, keys: Sequence[str], step: Callable[[Series], Series], null_mode: str = "compact") -> DataFrame:
+    """Run a step over repaired series: ordinary vehicles whole, long ones in pieces."""
+    def repair(rows: DataFrame, long: LongSeries | None) -> DataFrame:
+        settled = settle_soc(_deduplicated(rows, keys, long), keys, null_mode=null_mode)
+        return step(recovered(as_series(settled, keys, ORDER, long, before=1, after=RECOVER_ROWS), null_mode=null_mode)).own_rows()
+    return by_length(battery, find_long(battery, keys), repair)
 
 
 def repaired(battery: DataFrame, keys: Sequence[str] = KEYS, null_mode: str = "compact") -> DataFrame:
     """Unified messages, one per key, with the state of charge settled and recovered."""
-    def step(rows, long):
-        settled = settle_soc(_deduplicated(rows, keys, long), keys, null_mode=null_mode)
-        return recover_soc(settled, keys, long, null_mode=null_mode)
-    return _run(battery, keys, step)
+    return _run(battery, keys, lambda series: series, null_mode)
 
 
 def edge_events(battery: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Plug and unplug edges before the alternation filter."""
-    return _run(battery, keys, lambda rows, long: _edges(rows, keys, long))
-
-
-def _edges(rows, keys, long):
-    settled = settle_soc(_deduplicated(rows, keys, long), keys)
-    return plugs.plug_edges(recover_soc(settled, keys, long), keys, long)
+    return _run(battery, keys, plugs.edges)
 
 
-def _events(rows, keys, long):
-    return plugs.alternate(_edges(rows, keys, long), keys, long)
+def _events(series: Series) -> Series:
+    return plugs.alternating(plugs.edges(series))
 
 
 def events(battery: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Alternating plug and unplug events."""
-    return _run(battery, keys, lambda rows, long: _events(rows, keys, long))
+    return _run(battery, keys, _events)
 
 
 def raw_charges(battery: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return _run(battery, keys, lambda rows, long: plugs.pair_events(_events(rows, keys, long), keys, long))
+    return _run(battery, keys, lambda series: plugs.paired(_events(series)))
 
 
-def _sane(rows, keys, long, day):
-    return plugs.sane_times(plugs.pair_events(_events(rows, keys, long), keys, long), day)
+def _spaced(series: Series, day: Column | date) -> Series:
+    return plugs.spaced(plugs.paired(_events(series)).where(plugs.within_days(day)))
 
 
 def gaps(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS) -> DataFrame:
-    return _run(battery, keys, lambda rows, long: plugs.charge_gaps(_sane(rows, keys, long, day), keys, long))
+    return _run(battery, keys, lambda series: _spaced(series, day))
 
 
 def grouped(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
-    def step(rows, long):
-        spaced = plugs.charge_gaps(_sane(rows, keys, long, day), keys, long)
-        return plugs.group_charges(spaced, keys, long, stop_gap)
-    return _run(battery, keys, step)
+    return _run(battery, keys, lambda series: plugs.regrouped(_spaced(series, day), stop_gap))
 
 
 def charges(battery: DataFrame, day: Column | date, keys: Sequence[str] = KEYS, stop_gap: str = "previous") -> DataFrame:
