@@ -23,7 +23,7 @@ def clustered(n, dim, seed):
 def test_covering_angles_hold_and_every_point_is_in_one_leaf():
     points = clustered(1500, 12, 1)
     ids, labels = np.arange(1500), np.arange(1500) % 4
-    tree = cover_tree.grow(points, ids, labels)
+    tree = cover_tree.grow(points, ids, labels, leaf=24)
     assert sorted(tree.ids.tolist()) == ids.tolist() and (points[tree.ids] == tree.vectors).all()
     assert len(tree.centre) > 40
     square = np.einsum("nd,nd->n", tree.vectors, tree.vectors)
@@ -44,7 +44,7 @@ def test_covering_angles_hold_and_every_point_is_in_one_leaf():
 def test_best_in_windows_is_exact_and_skips_nodes(monkeypatch):
     points = clustered(3000, 10, 2)
     ids, labels = np.random.default_rng(3).permutation(3000), np.arange(3000) % 3
-    tree = cover_tree.grow(points, ids, labels)
+    tree = cover_tree.grow(points, ids, labels, leaf=24)
     opened, real = Counter(), cover_tree.heapq.heappop
     monkeypatch.setattr(cover_tree.heapq, "heappop", lambda heap: opened.update(n=1) or real(heap))
     for q in range(0, 3000, 60):

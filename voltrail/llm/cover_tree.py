@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voltrail.llm.common import ship
 from voltrail.session import stage
 
-SHARD_ROWS = 4096
-#: Members up to which a node is a leaf, and by how much the radius shrinks from level to level.
-LEAF, BASE = 32, 1.5
+SHARD_ROWS = 8192
+#: Members up to which a node is a leaf.
+LEAF = 512
+#: By how much a level's radius shrinks: the first that needs few children. Vectors without any structure need the last ones.
+SHRINK = (2.0, 1.5, 1.25, 1.12, 1.05)
 #: Integer components beyond this are out of reach of exact products.
 LARGEST = 1 << 25
 PARTITIONS = 20_000
@@ -55,8 +57,8 @@ def _exact(vectors: np.ndarray) -> np.ndarray:
     return vectors.astype(np.float64) if vectors.shape[1] * most * LARGEST < 2 ** 53 or vectors.shape[1] * most * most < 2 ** 50 else vectors
 
 
-def grow(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Tree:
-    """The tree of one shard, level by level. A node's points are those of its children that need no node of their own."""
+def grow(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> Tree:
+    """The tree of one shard, level by level. A node's own points are those of its children that need no node of their own."""
     square = np.einsum("nd,nd->n", vectors.astype(float), vectors.astype(float))
     length = float(np.sqrt(square.max(initial=0)))
     unit = np.column_stack((vectors, np.sqrt(np.maximum(length ** 2 - square, 0)))) / (length or 1.0)
@@ -77,11 +79,11 @@ def grow(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Tree:
         members, span = waiting[at], 2 * np.sin(angle[at] / 2)
         child_from.append(len(waiting))
         point_from.append(len(order))
-        if len(members) <= LEAF or span < 1e-12:
+        if len(members) <= leaf or span < 1e-12:
             order.extend(members.tolist())
         else:
-            for child in _net(unit, members, centre[at], span / BASE):
-                if len(child) == 1 or np.all(unit[child] == unit[child[0]]):
+            for child in _children(unit, members, centre[at], span, 2 * len(members) // leaf):
+                if len(child) <= leaf // 4:
                     order.extend(child.tolist())
                 else:
                     waiting.append(node(int(child[0]), child))
@@ -93,17 +95,29 @@ def grow(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Tree:
     return Tree(_exact(vectors[order]), ids[order], labels[order], length, _exact(vectors[np.array(centre, int)]), np.array(angle), *numbers)
 
 
-def _net(unit: np.ndarray, members: np.ndarray, first: int, radius: float) -> list[np.ndarray]:
-    """The members by centre, each list led by its centre: centres are further apart than `radius`, members within it of theirs."""
-    rest = members[members != first] if first in members else members
-    lists, at, extra = [], first, np.array([first])
-    while True:
-        near = np.linalg.norm(unit[rest] - unit[at], axis=1) <= radius
+def _children(unit: np.ndarray, members: np.ndarray, first: int, span: float, few: int) -> list[np.ndarray]:
+    """The net of the next level, by the largest shrinking that has few enough centres, else by the least."""
+    for shrink in SHRINK[:-1]:
+        lists = _net(unit, members, first, span / shrink, few)
+        if lists:
+            return lists
+    return _net(unit, members, first, span / SHRINK[-1], len(members))
+
+
+def _net(unit: np.ndarray, members: np.ndarray, first: int, radius: float, most: int) -> list[np.ndarray]:
+    """The members by centre, each list led by its centre: centres are further apart than `radius`, members within it of theirs.
+
+    Empty if there are more centres than `most`.
+    """
+    rest, lists, at, extra = members[members != first], [], first, np.array([first])
+    while len(lists) < most:
+        near = unit[rest] @ unit[at] >= 1 - radius ** 2 / 2  # on the unit sphere
         lists.append(np.concatenate((extra, rest[near])))
         rest = rest[~near]
         if not len(rest):
             return lists
         at, extra, rest = rest[0], rest[:1], rest[1:]
+    return []
 
 
 def best(tree: Tree, query: np.ndarray, ident: int, label: int, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -114,6 +128,7 @@ def best(tree: Tree, query: np.ndarray, ident: int, label: int, same: bool, low:
     length = float(np.sqrt((query.astype(float) ** 2).sum()))
     scale, slack = length * tree.length, 1e-9 * length * tree.length + 1e-6
     exact = query.astype(tree.vectors.dtype)
+    highest = high.max(initial=-np.inf)
     least = np.where(low > high, np.inf, -np.inf)  # a product must reach this; nothing fits a window turned about
     found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in low]
 
@@ -140,23 +155,34 @@ def best(tree: Tree, query: np.ndarray, ident: int, label: int, same: bool, low:
             break
         if not ((top >= low) & (bottom <= high) & (np.minimum(top, high) >= least)).any():
             continue
-        points = slice(int(tree.point_from[node]), int(tree.point_to[node]))
+        points = slice(tree.point_from[node], tree.point_to[node])
         if points.stop > points.start:
-            score = (tree.vectors[points] @ exact).astype(np.int64)
-            fits = ((tree.labels[points] == label) == same) & (tree.ids[points] != ident)
-            for w in range(len(low)):
-                good = np.flatnonzero(fits & (score >= max(low[w], least[w])) & (score <= high[w]))
-                if len(good):
-                    scores, ids = np.concatenate((found[w][0], score[good])), np.concatenate((found[w][1], tree.ids[points][good]))
-                    first = np.lexsort((ids, -scores))[:k]
-                    found[w] = scores[first], ids[first]
-                    if len(first) == k:
-                        least[w] = scores[first[-1]]
+            score = tree.vectors[points] @ exact
+            floor = np.maximum(low, least)
+            some = np.flatnonzero((score >= floor.min()) & (score <= highest))
+            some = some[((tree.labels[points][some] == label) == same) & (tree.ids[points][some] != ident)]
+            if len(some):
+                scores, ids = score[some].astype(np.int64), tree.ids[points][some]
+                most, fewest = scores.max(), scores.min()
+                for w in range(len(low)):
+                    if most >= floor[w] and fewest <= high[w]:
+                        found[w], least[w] = _merged(*found[w], scores, ids, floor[w], high[w], k)
         if tree.child_to[node] > tree.child_from[node]:
-            push(slice(int(tree.child_from[node]), int(tree.child_to[node])))
+            push(slice(tree.child_from[node], tree.child_to[node]))
     return found
 
 
+def _merged(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, whose: np.ndarray, low: float, high: float, k: int):
+    """The k best of what a window has and of new points, and the score that the next ones must reach."""
+    good = (more >= low) & (more <= high)
+    scores, ids = np.concatenate((scores, more[good])), np.concatenate((ids, whose[good]))
+    if len(scores) > 4 * k:
+        good = scores >= np.partition(scores, -k)[-k]
+        scores, ids = scores[good], ids[good]
+    first = np.lexsort((ids, -scores))[:k]
+    return (scores[first], ids[first]), scores[first[-1]] if len(first) == k else low
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, and every component a number within reach."""
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) <= LARGEST)) & (F.size(vector) > 0), F.lit(False))
