@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from voltrail.operators import audit, compare, dedup, event_series, fleet, intervals, profile
+from voltrail.operators import audit, compare, dedup, dominance, event_series, fleet, intervals, profile
 
 T0 = datetime(2024, 1, 1)
 COMMON = ("vehicle string, session_start long, session_stop long, msg_start long, msg_stop long, start timestamp, "
@@ -86,6 +86,25 @@ def test_points_in_intervals_match_brute_force(spark, width):
     assert sorted(map(tuple, got.select("i", "j").collect())) == expected
 
 
+@pytest.mark.parametrize("piece", [None, 40])
+def test_enclosing_intervals_of_one_day_match_brute_force(spark, piece):
+    """All outer intervals begin and end on one day but for a few with wrong clocks; ties of both ends; nodes cut into pieces."""
+    rng = random.Random(9)
+    outer = [(rng.randrange(0, 200), 86_400 - rng.randrange(0, 300)) for _ in range(400)] + [(-9_000_000_000, 9_000_000_000), (50, 60)] * 2
+    inner = [(rng.randrange(-5, 220), 86_400 - rng.randrange(-5, 320)) for _ in range(150)] + [(55, 56), (5, 2)]
+    schema = "low long, high long"
+    if piece:
+        spark.conf.set("spark.voltrail.series.maxRows", str(piece))
+    try:
+        got = dominance.enclosing(spark.createDataFrame(inner, schema), spark.createDataFrame(outer, schema))
+        assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+        have = {(r["low"], r["high"]): r["enclosing"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.voltrail.series.maxRows")
+    assert all(have.get((a, b), 0) == sum(x < a and y > b for x, y in outer) for a, b in inner)
+    assert dominance.enclosing(spark.createDataFrame(inner, schema), spark.createDataFrame([], schema)).count() == 0
+
+
 def test_best_overlap_takes_the_earliest_partner(spark):
     s, l = charges(spark, [("a", 0, 1000)]), charges(spark, [("a", 500, 600), ("a", 100, 200), ("a", -300_000, 50)])
     best = compare.best_overlap(s, l).collect()

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.functions.clock import hours_between
 from voltrail.operators.dedup import first_per_key
+from voltrail.operators.dominance import enclosing
 from voltrail.operators.intervals import overlap_pairs
 from voltrail.schemas import COMMON_COLUMNS
 
-DAY, BLOCK = 86400, 512
 OVERLAP_BIN = 60  # seconds of the finest bins
 MAX_HOURS = 50
 DIFFERENCE_HOURS = 40
@@ -129,54 +127,12 @@ def overlaps_any_vehicle(status: DataFrame, slope: DataFrame) -> DataFrame:
     timed = timed.join(sums.select(F.col("at").alias("_high"), "begun_by"), "_high")
     timed = timed.join(sums.select(F.col("at").alias("_low"), "ended_before"), "_low")
     inverted = slope.filter(F.col("stop") < F.col("start")).select(low.alias("low"), high.alias("high"))
-    enclosing = _enclosing(status.select(s_low.alias("low"), s_high.alias("high")).distinct(), inverted)
-    timed = timed.join(enclosing, (F.col("_low") == F.col("low")) & (F.col("_high") == F.col("high")), "left")
+    around = enclosing(status.select(s_low.alias("low"), s_high.alias("high")), inverted)
+    timed = timed.join(around, (F.col("_low") == F.col("low")) & (F.col("_high") == F.col("high")), "left")
     count = F.col("begun_by") - F.col("ended_before") - F.coalesce("enclosing", F.lit(0))
     return timed.select("vehicle", "start", "stop", count.alias("overlaps"))
 
 
-def _enclosing(spans: DataFrame, outer: DataFrame) -> DataFrame:
-    """(low, high, enclosing): how many outer spans begin before and end after each span; spans without any may be missing.
-
-    Outer spans that begin on an earlier day and end on a later day are counted by whole days. The rest shares
-    a border day with the span, and is counted within that day.
-    """
-    day = lambda c: F.floor(F.col(c) / DAY)
-    cells = outer.groupBy(day("low").alias("d_low"), day("high").alias("d_high")).agg(F.count("*").alias("n")).filter("d_high > d_low + 1")
-    inside = cells.select("d_high", "n", F.explode(F.sequence(F.col("d_low") + 1, F.col("d_high") - 1)).alias("d"))
-    inside = inside.groupBy("d", "d_high").agg(F.sum("n").alias("n"))
-    asked = spans.select(day("low").alias("d"), day("high").alias("to")).distinct()
-    whole = asked.join(inside, "d").filter("d_high > to").groupBy("d", "to").agg(F.sum("n").alias("enclosing"))
-    far = spans.select("low", "high", day("low").alias("d"), day("high").alias("to")).join(whole, ["d", "to"]).select("low", "high", "enclosing")
-
-    def bordering(rows: DataFrame, asks: bool) -> DataFrame:
-        place = lambda border, at, x: F.struct(F.lit(border).alias("border"), at.alias("day"), x.alias("x"))
-        both = F.array(place(1, day("low"), F.col("low")), place(2, day("high"), day("low")))
-        return rows.select(F.lit(asks).alias("asks"), "low", "high", F.inline(both))
-
-    both = bordering(spans, True).unionByName(bordering(outer, False))
-    near = both.groupBy("border", "day").applyInPandas(_dominated, "low long, high long, enclosing long")
-    return far.unionByName(near).groupBy("low", "high").agg(F.sum("enclosing").alias("enclosing"))
-
-
-def _dominated(part: pd.DataFrame) -> pd.DataFrame:
-    """For each asking row the number of others with a smaller x and a larger high; others are ranked by x in blocks of sorted highs."""
-    asks = part[part.asks]
-    others = part[~part.asks].sort_values("x")
-    x, high = others.x.to_numpy(), others.high.to_numpy()
-    before = np.searchsorted(x, asks.x.to_numpy())  # how many others have a smaller x
-    limit, counts = asks.high.to_numpy(), np.zeros(len(asks), np.int64)
-    for at in range(0, len(others), BLOCK):
-        block = np.sort(high[at:at + BLOCK])
-        full = before >= at + len(block)
-        counts[full] += len(block) - np.searchsorted(block, limit[full], "right")
-        cut = np.flatnonzero((before > at) & ~full)
-        if len(cut):
-            earlier = np.arange(at, at + len(block)) < before[cut][:, None]
-            counts[cut] += (earlier & (high[at:at + BLOCK] > limit[cut][:, None])).sum(axis=1)
-    return pd.DataFrame({"low": asks.low, "high": asks.high, "enclosing": counts})
-
-
 def session_coverage(status: DataFrame, slope: DataFrame) -> DataFrame:
     """How many method-L rows find a method-S charge that began in the same session.
 
