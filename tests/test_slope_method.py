@@ -1,5 +1,7 @@
 """Method L: flags, filling, numbering, refinement and enrichment."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -130,6 +132,39 @@ def test_repeated_messages_keep_one_row_per_trip(spark):
     assert sorted((r["msg"], r["in_trip"]) for r in rows) == [(5, 1), (5, 1), (5, 1), (6, 1), (99, 0)]
 
 
+@pytest.mark.parametrize("piece,together", [(None, 64), (None, 3), (25, 64), (25, 3)])
+def test_trips_match_a_plain_left_join(spark, monkeypatch, piece, together):
+    """Disjoint, nested, equal and touching trips, a crowd of overlapping ones, repeated messages, null sessions and ids."""
+    rng = random.Random(11)
+    messages = [(rng.choice("ab"), rng.choice([1, 2, None]), rng.choice([None, *range(0, 400)]), T0 + timedelta(seconds=rng.randrange(4000))) for _ in range(300)]
+    messages += messages[:30]
+    trips = []
+    for v in "ab":
+        for first in range(0, 400, 20):
+            trips.append((v, first, first + rng.choice([0, 5, 15, 19, 20]), at(rng.randrange(2000)), at(2000 + rng.randrange(2000))))
+        trips += [(v, 100, 160, at(0), at(5000)), (v, 110, 120, at(5), at(900)), trips[-1], (v, 390, 10, at(0), at(9))]
+        trips += [(v, 200 + i, 230 + i, at(i), at(3000)) for i in range(8)]
+    schema = "vehicle string, msg_first long, msg_last long, trip_start timestamp, trip_stop timestamp"
+    m = spark.createDataFrame(messages, "vehicle string, session long, msg long, ts timestamp")
+    t = spark.createDataFrame(trips, schema)
+    long = find_long(m, ("vehicle",), piece) if piece else None
+    monkeypatch.setattr(slope, "TOGETHER", together)
+    got = slope.attach_trips(m, t, long).select("vehicle", "session", "msg", "ts", "trip_start", "trip_stop", "in_trip").collect()
+    want = []
+    for row in messages:
+        inside = [x for x in trips if x[0] == row[0] and row[2] is not None and x[1] <= row[2] <= x[2]]
+        margin = timedelta(seconds=10)
+        want += [(*row, x[3], x[4], int(x[3] + margin <= row[3] <= x[4] - margin)) for x in inside] or [(*row, None, None, 0)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_trips_and_flags_take_one_shuffle_of_the_messages(spark, small):
+    rows = L.flags(V.vehicle_status(spark, small), V.trips(spark, small))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(vehicle") == 2  # the messages with the trips, and the few rows of the trips among themselves
+    assert "Join" not in plan
+
+
 def test_series_with_outliers_and_ties_are_cut_evenly(spark):
     from voltrail.operators.series import as_series, find_long
 

@@ -207,17 +207,29 @@ def neighbours(series: Series, before: dict[str, Column | str], after: dict[str,
 
 def running_total(series: Series, name: str, value: Column) -> Series:
     """Sum of ``value`` from the start of the series to each row; copies of rows do not count."""
+    series = _running(series, name, F.sum, value, 0)
+    return series if series.long is None else series.with_columns({name: F.col(name) + F.col("_ahead")}).without("_ahead")
+
+
+def maximum_before(series: Series, name: str, value: Column) -> Series:
+    """The largest ``value`` of all earlier rows of the series, null at its start."""
+    series = _running(series, name, F.max, value, -1)
+    return series if series.long is None else series.with_columns({name: F.greatest(name, "_ahead")}).without("_ahead")
+
+
+def _running(series: Series, name: str, function: Callable[[Column | str], Column], value: Column, last: int) -> Series:
+    """A function from the start of the series to each row (or to the one before); in a cut series from the start of the piece, beside that of all
+    earlier pieces in ``_ahead``."""
     if series.long is None:
-        reach = series.window().rowsBetween(Window.unboundedPreceding, 0)
-        return series.with_columns({name: F.sum(value).over(reach)})
+        return series.with_columns({name: function(value).over(series.window().rowsBetween(Window.unboundedPreceding, last))})
     owned = replace(series, rows=series.rows.filter("_own"))
-    reach = owned.window().rowsBetween(Window.unboundedPreceding, 0)
+    reach = owned.window().rowsBetween(Window.unboundedPreceding, last)
     piece = [*series.keys, "_piece"]
-    sums = owned.rows.groupBy(*piece).agg(F.sum(value).alias("_sum"))
+    whole = owned.rows.groupBy(*piece).agg(function(value).alias("_whole"))
     earlier = Window.partitionBy(*series.keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*piece, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"))
-    rows = owned.rows.withColumn(name, F.sum(value).over(reach)).join(sums, piece)
-    return replace(owned, rows=rows.withColumn(name, F.col(name) + F.col("_ahead")).drop("_ahead"))
+    ahead = function("_whole").over(earlier)
+    whole = whole.select(*piece, (F.coalesce(ahead, F.lit(0)) if function is F.sum else ahead).alias("_ahead"))
+    return replace(owned, rows=owned.rows.withColumn(name, function(value).over(reach)).join(whole, piece))
 
 
 def series_minimum(series: Series, name: str, column: str) -> Series:

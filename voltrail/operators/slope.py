@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from voltrail.operators.intervals import points_inside
-from voltrail.operators.series import LongSeries, Series, as_series, running_total, series_minimum
+from voltrail.operators.series import Carried, LongSeries, Series, as_series, carry, maximum_before, running_total, series_minimum, together
+from voltrail.session import stage
 
 KEYS = ("vehicle",)
 ORDER = ("ts", "msg", "session")
@@ -15,26 +16,58 @@ FILL_ROWS = 10
 FILL_SECONDS = 600
 REACH = FILL_ROWS + 4  # rows a flag can depend on, over all steps
 TRIP_BIN = 4096  # message ids per bin
+TOGETHER = 64  # overlapping trips that are carried in one row
 MIN_GAIN = 1
 
 
-def attach_trips(messages: DataFrame, trips: DataFrame) -> DataFrame:
-    """Each status message with the trip its id falls in; trip times moved inwards by ten seconds.
+def attach_trips(messages: DataFrame, trips: DataFrame, long: LongSeries | None = None) -> DataFrame:
+    """Each status message with the trips its id falls in; trip times moved inwards by ten seconds.
 
-    Trips are looked up once per vehicle and id, so repeated messages and messages without a session keep
-    one row per trip, as in a left join.
+    Trips that overlap one another are put together, so that what is left follows one after the other, and the last
+    of it is carried along the message ids: in the partitioning by vehicle that the later steps use, and for a message as often as
+    it was sent. A message keeps one row per trip that holds it, or one without a trip. Only trips among more than
+    ``TOGETHER`` overlapping ones are looked up by bins of message ids. With ``long`` both tables are of long vehicles.
     """
-    spans = trips.select("vehicle", "msg_first", "msg_last", "trip_start", "trip_stop").withColumns({
+    spans = trips.filter("msg_first <= msg_last").select("vehicle", "msg_first", "msg_last", "trip_start", "trip_stop").withColumns({
         "trip_start_inner": F.col("trip_start") + F.expr(TRIP_MARGIN),
         "trip_stop_inner": F.col("trip_stop") - F.expr(TRIP_MARGIN)})
-    key = ["vehicle", "msg"]
-    inside = points_inside(messages.select(*key).distinct(), spans, ["vehicle"], F.col("msg"), F.col("msg_first"),
-                           F.col("msg_last"), TRIP_BIN, F.col("msg").between(F.col("msg_first"), F.col("msg_last")))
-    joined = messages.join(inside.drop("msg_first", "msg_last"), key, "left")
+    groups, crowded = _trip_groups(spans, long)
+    rows = messages.withColumns({"_at": F.col("msg"), "_kind": F.lit(1)})
+    markers = groups.select("vehicle", F.col("first").alias("_at"), F.lit(0).alias("_kind"), "_trips")
+    merged = together(rows.unionByName(markers, allowMissingColumns=True), KEYS, long)
+    series = carry(as_series(merged, KEYS, ("_at", "_kind", "ts", "session"), long), {"_last": Carried(F.col("_trips"))})
+    holding = F.filter("_last", lambda t: F.col("msg").between(t["msg_first"], t["msg_last"]))
+    names = ("trip_start", "trip_stop", "trip_start_inner", "trip_stop_inner")
+    joined = series.own_rows().filter("_kind = 1").select(*messages.columns, F.explode_outer(holding).alias("_trip"))
+    joined = joined.select(*messages.columns, *[F.col(f"_trip.{c}").alias(c) for c in names])
+    if crowded is not None:
+        key = ["vehicle", "msg"]
+        inside = points_inside(messages.select(*key).distinct(), crowded, ["vehicle"], F.col("msg"), F.col("msg_first"),
+                               F.col("msg_last"), TRIP_BIN, F.col("msg").between(F.col("msg_first"), F.col("msg_last")))
+        found = inside.select(*key, *[F.col(c).alias(f"_{c}") for c in names], F.lit(True).alias("_in"))
+        joined = joined.join(found, key, "left").select(*messages.columns, *[F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names])
     in_trip = F.col("ts").between(F.col("trip_start_inner"), F.col("trip_stop_inner"))
     return joined.withColumn("in_trip", F.when(in_trip, 1).otherwise(0))
 
 
+def _trip_groups(spans: DataFrame, long: LongSeries | None) -> tuple[DataFrame, DataFrame | None]:
+    """(vehicle, first, _trips): trips that overlap one another as one row each, and the trips of groups too large for a row, if there are any."""
+    order = ("msg_first", "msg_last", "trip_start", "trip_stop")
+    series = maximum_before(as_series(together(spans, KEYS, long), KEYS, order, long), "_reached", F.col("msg_last"))
+    begins = F.when(F.col("msg_first") <= F.col("_reached"), 0).otherwise(1)
+    numbered = stage(running_total(series, "_group", begins).own_rows(), "trips")
+    key = ["vehicle", "_group"]
+    crowded = stage(numbered.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select(*key), "crowded")
+    few = numbered
+    if crowded.isEmpty():
+        crowded = None
+    else:
+        few, crowded = numbered.join(crowded, key, "left_anti"), numbered.join(crowded, key, "left_semi").drop("_reached", "_group")
+    trip = F.struct("msg_first", "msg_last", "trip_start", "trip_stop", "trip_start_inner", "trip_stop_inner")
+    groups = few.groupBy(*key).agg(F.min("msg_first").alias("first"), F.collect_list(trip).alias("_trips"))
+    return groups.drop("_group"), crowded
+
+
 def _flag(condition):
     return F.when(condition, 1).otherwise(0)
 

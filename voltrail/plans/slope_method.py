@@ -22,7 +22,10 @@ def with_trips(messages: DataFrame, trips: DataFrame) -> DataFrame:
 
 def _run(messages: DataFrame, trips: DataFrame, step) -> DataFrame:
     long = find_long(messages, KEYS)
-    return by_length(messages, long, lambda rows, long: step(S.attach_trips(rows, trips), long))
+    if long is None:
+        return step(S.attach_trips(messages, trips), None)
+    few, many = split(trips, long)
+    return by_length(messages, long, lambda rows, long: step(S.attach_trips(rows, many if long else few, long), long))
 
 
 def flags(messages: DataFrame, trips: DataFrame) -> DataFrame:
