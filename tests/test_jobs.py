@@ -1,7 +1,7 @@
 """Sources, sinks, the rolling job and the stream."""
 
 import json
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +135,65 @@ def test_stream_follows_landed_days(spark, landed, tmp_path):
     assert run() == whole(date(2024, 1, 1), date(2024, 1, 4))
 
 
+def test_a_late_file_reruns_only_what_changes(spark, tmp_path, monkeypatch):
+    """Thirty windows; a window emits its days' files less what the one before emitted, so a late file changes two of them."""
+    landing, state, out = (str(tmp_path / name) for name in ("landing", "state", "out"))
+    schema = spark.createDataFrame([], "ts timestamp, kind int").schema
+    emitted, worked, failing = {}, [], []
+    first, count = date(2024, 1, 1), 31
+
+    def land(day, *kinds):
+        rows = spark.createDataFrame([(datetime(day.year, day.month, day.day, 5), k, day) for k in kinds], "ts timestamp, kind int, day date")
+        rows.write.mode("append").partitionBy("kind", "day").parquet(landing)
+
+    def work(spark, rows, day, output, follows):
+        if day in failing:
+            failing.remove(day)
+            raise RuntimeError("lost")
+        worked.append(day)
+        last = emitted.get(day - timedelta(days=1), "") if follows else ""
+        emitted[day] = "".join(sorted(set(files.get(day, "") + files.get(day + timedelta(days=1), "")) - set(last)))
+        return len(emitted[day]), emitted[day]
+
+    monkeypatch.setattr(daily, "run_marked_day", work)
+    run = lambda: daily.follow(spark, landing, schema, lambda a, b: None, out, state, str(tmp_path / "stream")).awaitTermination()
+    files = {first + timedelta(days=i): chr(300 + i) for i in range(count)}
+    rows = spark.createDataFrame([(datetime(d.year, d.month, d.day, 5), k, d) for d in files for k in (68, 79)], "ts timestamp, kind int, day date")
+    rows.write.partitionBy("kind", "day").parquet(landing)
+    run()
+    assert worked == sorted(files)[:30]
+    late = first + timedelta(days=4)
+    files[late] += "z"
+    worked.clear()
+    land(late, 68)
+    run()
+    assert worked == [late - timedelta(days=1), late] or worked == [late - timedelta(days=1), late, late + timedelta(days=1)]
+    whole = {}
+    for d in sorted(files)[:30]:
+        last = whole.get(d - timedelta(days=1), "")
+        whole[d] = "".join(sorted(set(files[d] + files[d + timedelta(days=1)]) - set(last)))
+    assert emitted == whole
+    files[late] += "y"
+    worked.clear()
+    failing.append(late)
+    land(late, 79)
+    with pytest.raises(Exception):
+        run()
+    run()
+    for d in sorted(files)[:30]:
+        last = whole.get(d - timedelta(days=1), "") if d > first else ""
+        whole[d] = "".join(sorted(set(files[d] + files[d + timedelta(days=1)]) - set(last)))
+    assert emitted == whole and len(worked) <= 5
+
+
+def test_marks_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    day, rows = date(2024, 1, 1), spark.createDataFrame([("a", 1, 2), ("b", 3, 4), ("b", 5, 6)], "vehicle string, msg_start long, msg_stop long")
+    keys = ("vehicle", "msg_start", "msg_stop")
+    mark = lambda df: sinks.write_marked_window(df, str(tmp_path), day, keys)
+    assert mark(rows) == mark(rows.orderBy(F.desc("msg_start")).repartition(3)) and mark(rows)[0] == 3
+    assert mark(rows)[1] != mark(rows.filter("msg_start > 1"))[1] and mark(rows.limit(0)) == (0, "0:0")
+
+
 def test_a_window_that_turns_out_empty_replaces_its_rows(spark, tmp_path):
     path, day = str(tmp_path / "out"), date(2024, 1, 1)
     row = spark.createDataFrame([("v", 1)], "vehicle string, msg_start long")

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.plans import status_method
 from voltrail.session import stage
-from voltrail.sources.sinks import window_path, write_window
+from voltrail.sources.sinks import window_path, write_marked_window
 
 WINDOW_KEYS = ("window", "vehicle")
+EMITTED = ("vehicle", "msg_start", "msg_stop")
 CHARGE_KEY = ["vehicle", "window", "msg_start", "msg_stop"]
 
 
@@ -51,11 +52,16 @@ def run_days(spark: SparkSession, read_days: Callable[[date, date], DataFrame],
 
 def run_day(spark: SparkSession, battery: DataFrame, day: date, output: str, follows: bool) -> int:
     """One window, after the one of the day before if it ``follows`` it; returns the number of new charges."""
+    return run_marked_day(spark, battery, day, output, follows)[0]
+
+
+def run_marked_day(spark: SparkSession, battery: DataFrame, day: date, output: str, follows: bool) -> tuple[int, str]:
+    """:func:`run_day`, with a mark of what the next window reads of this one: equal marks, equal effect."""
     charges = status_method.charges(battery, F.lit(day))
     if follows:
         emitted = spark.read.schema(charges.schema).parquet(window_path(output, day - timedelta(days=1)))
         charges = without_emitted(charges, emitted)
-    return write_window(charges, output, day)
+    return write_marked_window(charges, output, day, EMITTED)
 
 
 def in_windows(battery: DataFrame, first: date, end: date) -> DataFrame:

@@ -59,9 +59,16 @@ def write_window(df: DataFrame, path: str, day: date) -> int:
     The window's own folder is replaced as a whole, so a run that is repeated leaves no row twice, and
     none of an earlier run when it finds nothing.
     """
+    return write_marked_window(df, path, day)[0]
+
+
+def write_marked_window(df: DataFrame, path: str, day: date, keys: Sequence[str] = ()) -> tuple[int, str]:
+    """:func:`write_window`, with a mark of what the ``keys`` of its rows are, whatever their order; taken while writing."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(window_path(path, day))
-    return seen.get["rows"]
+    hashed = F.coalesce(F.sum(F.xxhash64(*keys).cast("decimal(38,0)")), F.lit(0)) if keys else F.lit(0)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), hashed.cast("string").alias("mark")).write.mode("overwrite").parquet(window_path(path, day))
+    found = seen.get
+    return found["rows"], f"{found['rows']}:{found['mark']}"
 
 
 def window_path(path: str, day: date) -> str:

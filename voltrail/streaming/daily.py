@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from voltrail.plans.rolling import run_day
+from voltrail.plans.rolling import run_marked_day
 
 KINDS = (68, 79)
 NEXT = timedelta(days=1)
@@ -20,10 +20,10 @@ def follow(spark: SparkSession, landing: str, schema: StructType, read_days: Cal
     """Process newly landed files under ``landing/kind=K/day=D`` once and stop (``availableNow``).
 
     The window of a day needs that day and the next, of every kind; it waits until all four have landed.
-    A batch works again every window that its files touch, also old ones for messages that come late,
-    and then the windows after them for as long as they follow without a gap, since each drops what the one
-    before has emitted. ``state`` keeps a row per landed kind and day; windows are replaced
-    as a whole, so a batch that is retried after a failure leaves the same result.
+    A batch works again every window that its files touch, also old ones for messages that come late, and of the windows
+    after them those whose predecessor has emitted something else than when they were worked last: ``state`` keeps, beside a row per
+    landed kind and day, a mark of what each window emitted and of what it was worked against. Windows are replaced
+    as a whole and marked afterwards, so a batch that is retried after a failure goes on where results and marks differ.
     """
     landed = spark.readStream.schema(schema).parquet(landing)
 
@@ -35,14 +35,15 @@ def follow(spark: SparkSession, landing: str, schema: StructType, read_days: Cal
         have = _landed(spark, state) | new
         complete = {day for _, day in have if all((kind, day) in have for kind in kinds)}
         ready = {day for day in complete if day + NEXT in complete}
-        due = sorted(ready & {day - back for _, day in new for back in (NEXT, timedelta(0))})
-        done: set[date] = set()
-        for first in due:
-            day = first
-            while day in ready and day not in done:
-                run_day(spark, read_days(day, day + NEXT), day, output, follows=day - NEXT in ready)
-                done.add(day)
-                day += NEXT
+        due = ready & {day - back for _, day in new for back in (NEXT, timedelta(0))}
+        marks = _marks(spark, state)
+        for day in sorted(day for day in ready if due and day >= min(due)):
+            follows = day - NEXT in ready
+            against = marks[day - NEXT][0] if follows else NOTHING
+            if day in due or marks.get(day, ("", ""))[1] != against:
+                _, emitted = run_marked_day(spark, read_days(day, day + NEXT), day, output, follows=follows)
+                marks[day] = (emitted, against)
+                spark.createDataFrame([marks[day]], MARKS).write.mode("overwrite").parquet(f"{_marks_path(state)}/day={day}")
         spark.createDataFrame(sorted(new), "kind int, day date").write.mode("append").parquet(state)
 
     return (landed.writeStream.foreachBatch(windows).option("checkpointLocation", checkpoint)
@@ -54,3 +55,18 @@ def _landed(spark: SparkSession, state: str) -> set[tuple[int, date]]:
     schema = "kind int, day date"
     spark.createDataFrame([], schema).write.mode("append").parquet(state)
     return {(row["kind"], row["day"]) for row in spark.read.schema(schema).parquet(state).distinct().collect()}
+
+
+MARKS = "emitted string, against string"
+NOTHING = "nothing"
+
+
+def _marks_path(state: str) -> str:
+    return f"{state.rstrip('/')}-marks"
+
+
+def _marks(spark: SparkSession, state: str) -> dict[date, tuple[str, str]]:
+    """What each window emitted and what it was worked against; one row per day of operation."""
+    spark.createDataFrame([], f"{MARKS}, day date").write.mode("append").partitionBy("day").parquet(_marks_path(state))
+    rows = spark.read.schema(f"{MARKS}, day date").parquet(_marks_path(state)).collect()
+    return {row["day"]: (row["emitted"], row["against"]) for row in rows}
