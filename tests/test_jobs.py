@@ -201,6 +201,27 @@ def test_a_window_that_turns_out_empty_replaces_its_rows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
 
 
+def test_a_short_list_of_vehicles_skips_row_groups(spark, tmp_path):
+    """40,000 messages of 2,000 vehicles; names next to each other lie far apart in the list that is read."""
+    conf, size = spark.sparkContext._jsc.hadoopConfiguration(), "parquet.block.size"
+    rows = spark.range(40_000).select(F.concat(F.lit("vehicle-"), F.md5((F.col("id") % 2000).cast("string"))).alias("vehicle"),
+                                      F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts"), F.md5(F.col("id").cast("string")).alias("load"))
+    wanted = [r["vehicle"] for r in rows.filter("id in (3, 700, 1500)").collect()]
+    conf.set(size, str(64 << 10))
+    try:
+        sinks.land_raw({74: rows}, str(tmp_path), (74,))
+    finally:
+        conf.unset(size)
+    for ids, most in ((wanted, 0.2), (wanted + ["vehicle-0none"], 0.2), (["vehicle-7" + "f" * 31], 0.0)):
+        found = spark.read.parquet(f"{tmp_path}/kind=74").filter(F.col("vehicle").isin(ids))
+        assert found.count() == 20 * len(set(ids) & set(wanted))
+        found = spark.read.parquet(f"{tmp_path}/kind=74").filter(F.col("vehicle").isin(ids)).select("vehicle", "load")
+        found.collect()
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+        assert read <= most * 40_000
+
+
 def test_landing_a_day_keeps_the_others(spark, tmp_path):
     def at(day):
         return {74: spark.createDataFrame([("v", f"2024-01-0{day} 10:00:00")], "vehicle string, ts string").withColumn("ts", F.to_timestamp("ts"))}
