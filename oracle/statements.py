@@ -65,6 +65,17 @@ def _side(alias: str, suffix: str) -> str:
     return ", ".join(f"{alias}.{c} AS {c}_{suffix}" for c in SIDE)
 
 
+def _power(grouped: str) -> str:
+    return f"""
+    SELECT *, CASE WHEN power IS NULL OR power < 0 THEN '6-not classified' WHEN power < CAST(1.2 AS DOUBLE) THEN '0-Uncertain <1.2kW'
+                   WHEN power < CAST(2.7 AS DOUBLE) THEN '1-Standard 1.8kW(<2.7)' WHEN power < CAST(5.5 AS DOUBLE) THEN '2-GreenUp 3.7kW(<5.5)'
+                   WHEN power < CAST(9.2 AS DOUBLE) THEN '3-WallBox 7kW(<9.2)' WHEN power < 20 THEN '4-WallBox 11kW(<20)'
+                   WHEN power < 80 THEN '5-DCcharger<80kW' ELSE '6-not classified' END AS power_class
+    FROM (SELECT *, CAST(CAST(CASE vtype WHEN 25 THEN CAST(0.56 AS DOUBLE) * speed WHEN 26 THEN CAST(0.12 AS DOUBLE) * speed END AS FLOAT) AS DOUBLE) AS power
+          FROM (SELECT *, CAST(CAST(CASE WHEN duration > 0 THEN trunc(36000.0::DOUBLE * soc_gain / duration) / 10 END AS FLOAT) AS DOUBLE) AS speed
+                FROM (SELECT *, CAST(trunc((epoch_us(ts_stop) - epoch_us(ts_start)) / 1e6) AS BIGINT) AS duration FROM {grouped})))"""
+
+
 def _status_chain(p: str, source: str, keys: str, day: str) -> None:
     """Method S over ``source``; ``keys`` name one series, ``day`` the first day of its window."""
     first_key = keys.split(",")[0].strip()
@@ -124,18 +135,14 @@ def _status_chain(p: str, source: str, keys: str, day: str) -> None:
         ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))}
        AND a.msg_start < b.msg_stop AND (a.nxt IS NULL OR a.nxt > b.msg_stop))
     WHERE soc_stop - soc_start >= 0 AND vtype IN (25, 26)""")
-    part(f"{p}power", f"""
-    SELECT *, CASE WHEN power IS NULL OR power < 0 THEN '6-not classified' WHEN power < CAST(1.2 AS DOUBLE) THEN '0-Uncertain <1.2kW'
-                   WHEN power < CAST(2.7 AS DOUBLE) THEN '1-Standard 1.8kW(<2.7)' WHEN power < CAST(5.5 AS DOUBLE) THEN '2-GreenUp 3.7kW(<5.5)'
-                   WHEN power < CAST(9.2 AS DOUBLE) THEN '3-WallBox 7kW(<9.2)' WHEN power < 20 THEN '4-WallBox 11kW(<20)'
-                   WHEN power < 80 THEN '5-DCcharger<80kW' ELSE '6-not classified' END AS power_class
-    FROM (SELECT *, CAST(CAST(CASE vtype WHEN 25 THEN CAST(0.56 AS DOUBLE) * speed WHEN 26 THEN CAST(0.12 AS DOUBLE) * speed END AS FLOAT) AS DOUBLE) AS power
-          FROM (SELECT *, CAST(CAST(CASE WHEN duration > 0 THEN trunc(36000.0::DOUBLE * soc_gain / duration) / 10 END AS FLOAT) AS DOUBLE) AS speed
-                FROM (SELECT *, CAST(trunc((epoch_us(ts_stop) - epoch_us(ts_start)) / 1e6) AS BIGINT) AS duration FROM {p}grouped)))""")
+    part(f"{p}power", _power(f"{p}grouped"))
     part(f"{p}final", f"SELECT * FROM {p}power WHERE duration > 300 AND duration < 172800")
 
 
+_STRETCH = "CASE msg_start % 5 WHEN 0 THEN 60 WHEN 1 THEN 45 WHEN 2 THEN 12 ELSE 0 END"
 _status_chain("s_", "battery", "vehicle", "TIMESTAMP '2024-01-01'")
+part("long_grouped", f"SELECT * REPLACE (ts_stop + to_hours({_STRETCH}) AS ts_stop) FROM s_grouped")
+part("long_power", _power("long_grouped"))
 _status_chain("u_", "batteryu", "vehicle", "TIMESTAMP '2024-01-29'")
 part("windowed", """
     SELECT * FROM (SELECT *, CAST(ts AS DATE) AS win FROM batteryu UNION ALL SELECT *, CAST(CAST(ts AS DATE) - INTERVAL 1 DAY AS DATE) FROM batteryu)
@@ -249,7 +256,10 @@ def _pairs(slope: str) -> str:
 
 
 part("pairs", _pairs("common_l"))
-part("pairs50", _pairs("(SELECT * FROM common_l WHERE hours <= 50)"))
+part("long_l", f"SELECT * REPLACE (stop + to_hours({_STRETCH}) AS stop, hours + {_STRETCH} AS hours) FROM common_l")
+part("long_pairs", _pairs("long_l"))
+part("pairs50", _pairs("(SELECT * FROM long_l WHERE hours <= 50)"))
+part("long_stacked", "SELECT *, 'status' AS method FROM common_s UNION ALL SELECT *, 'slope' FROM long_l")
 part("stacked", "SELECT *, 'status' AS method FROM common_s UNION ALL SELECT *, 'slope' FROM common_l")
 
 
@@ -369,13 +379,15 @@ STATEMENTS = {
     "power_class": "SELECT vehicle, msg_start, vtype, power_class FROM s_power",
     "charges_final": "SELECT vtype, vehicle, " + ", ".join(f"{c}_start" for c in SIDE if c != "summary_soc") + f", {r('summary_soc_start')}, next_msg_start, "
         + ", ".join(f"{c}_stop" for c in SIDE if c != "summary_soc") + f", {r('summary_soc_stop')}, soc_gain, duration, {r('speed')}, {r('power')}, power_class FROM s_final",
+    "charges_plausible": f"SELECT vehicle, msg_start, msg_stop, ts_stop, duration, {r('power')} FROM long_power WHERE duration > 300 AND duration < 172800",
     "rolling_new_charges": f"""SELECT win AS "window", vehicle, msg_start, msg_stop, ts_start, ts_stop, soc_gain, {r('power')}
         FROM w_final SEMI JOIN w_new USING (win, vehicle, msg_start, msg_stop)""",
     "clock_corrected": """SELECT e.vehicle, e.session, e.msg, e.event,
             c.close_ts - to_seconds(CAST(round_even(c.close_rts - e.rts, 0) AS BIGINT)) AS ts
         FROM s_clean e JOIN (SELECT vehicle, session, max(ts) AS close_ts, max(rts) AS close_rts FROM ev GROUP BY ALL) c USING (vehicle, session)""",
     "anonymised": "SELECT md5(CAST(vehicle AS VARCHAR) || 'not-a-real-secret') AS pseudonym, msg_start, msg_stop, soc_gain FROM s_final",
-    "trip_flags": "SELECT vehicle, session, msg, ts, trip_start_inner, trip_stop_inner, in_trip FROM tripped",
+    "trip_flags": """SELECT vehicle, session, msg, ts, trip_start_inner, trip_stop_inner, in_trip FROM tripped
+        UNION ALL SELECT vehicle, CASE WHEN msg % 2 = 0 THEN session END, msg, ts, trip_start_inner, trip_stop_inner, in_trip FROM tripped WHERE msg % 9 = 0""",
     "slope_flags": f"SELECT vehicle, msg, {r('soc_drop')}, rising, rising_pair, moving, driving, charging FROM slope4",
     "slope_filled": "SELECT vehicle, msg, charging, filled, kept FROM slope6",
     "slope_sessions": f"SELECT vehicle, charge_no, charge_start, charge_stop, {r('soc_start')}, {r('soc_stop')}, {r('soc_gain')}, charging FROM l_sessions",
@@ -411,11 +423,11 @@ STATEMENTS = {
     "duration_box": """SELECT method, round(q25, 4) + 0.0 AS q25, round(q50, 4) + 0.0 AS q50, round(q75, 4) + 0.0 AS q75,
             round(min(hours) FILTER (WHERE hours BETWEEN lo AND hi), 4) + 0.0 AS whisker_low, round(max(hours) FILTER (WHERE hours BETWEEN lo AND hi), 4) + 0.0 AS whisker_high,
             count(*) FILTER (WHERE hours NOT BETWEEN lo AND hi) AS fliers, count(*) AS n
-        FROM (SELECT *, q25 - 1.5 * (q75 - q25) AS lo, q75 + 1.5 * (q75 - q25) AS hi FROM (SELECT * FROM stacked WHERE hours <= 10)
+        FROM (SELECT *, q25 - 1.5 * (q75 - q25) AS lo, q75 + 1.5 * (q75 - q25) AS hi FROM (SELECT * FROM long_stacked WHERE hours <= 10)
               JOIN (SELECT method, quantile_cont(hours, 0.25) AS q25, quantile_cont(hours, 0.5) AS q50, quantile_cont(hours, 0.75) AS q75
-                    FROM stacked WHERE hours <= 10 GROUP BY method) USING (method))
+                    FROM long_stacked WHERE hours <= 10 GROUP BY method) USING (method))
         GROUP BY method, q25, q50, q75""",
-    "duration_outliers": f"SELECT {PAIR}, hours_l < 0 AS negative_l FROM pairs WHERE abs_diff >= CAST(40 AS DOUBLE) / 60",
+    "duration_outliers": f"SELECT {PAIR}, hours_l < 0 AS negative_l FROM long_pairs WHERE abs_diff >= 40",
     "iqr_outliers": """SELECT method, vehicle, msg_start, start, round(hours, 4) + 0.0 AS hours, hours = max(hours) OVER (PARTITION BY method) AS is_largest
         FROM stacked JOIN (SELECT method, quantile_cont(hours, 0.25) AS q25, quantile_cont(hours, 0.75) AS q75 FROM stacked GROUP BY method) USING (method)
         WHERE hours < q25 OR hours > q75""",

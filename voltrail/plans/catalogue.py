@@ -82,6 +82,12 @@ def _common(spark, folder):
         return compare.common_status(status.result()), compare.common_slope(slope)
 
 
+def _common_long(spark, folder):
+    """Both methods, with some method-L charges that last for days."""
+    status, slope = _common(spark, folder)
+    return status, V.stretched(slope)
+
+
 def _stacked(spark, folder):
     return compare.stacked(*_common(spark, folder))  # both sides are written tables
 
@@ -336,6 +342,13 @@ def charges_final(spark, folder):
     return rounded(_status_charges(spark, folder))
 
 
+@query
+def charges_plausible(spark, folder):
+    """The cuts on the duration, over charges of which some last for days."""
+    rows = plugs.charge_indicators(V.stretched_status(S.grouped(_battery(spark, folder), DAY)))
+    return rounded(plugs.plausible_duration(rows).select("vehicle", "msg_start", "msg_stop", "ts_stop", "duration", "power"))
+
+
 @query
 def rolling_new_charges(spark, folder):
     rows = rolling.all_windows(_battery(spark, folder, compressed=False), FIRST_WINDOW, END_WINDOW)
@@ -358,7 +371,7 @@ def anonymised(spark, folder):
 
 @query
 def trip_flags(spark, folder):
-    rows = L.with_trips(V.vehicle_status(spark, folder), V.trips(spark, folder))
+    rows = L.with_trips(V.vehicle_status_resent(spark, folder), V.trips(spark, folder))
     return rows.select("vehicle", "session", "msg", "ts", "trip_start_inner", "trip_stop_inner", "in_trip")
 
 
@@ -448,7 +461,7 @@ def overlap_pairs_any(spark, folder):
 
 @query
 def overlap_best(spark, folder):
-    return rounded(compare.best_overlap(*_common(spark, folder)).select(*PAIR))
+    return rounded(compare.best_overlap(*_common_long(spark, folder)).select(*PAIR))
 
 
 @query
@@ -536,13 +549,14 @@ def soc_gain_histogram(spark, folder):
 
 @query
 def duration_box(spark, folder):
-    return rounded(profile.box_statistics(compare.shorter_than(_stacked(spark, folder), 10), "hours", "method"))
+    stacked = compare.stacked(*_common_long(spark, folder))
+    return rounded(profile.box_statistics(compare.shorter_than(stacked, 10), "hours", "method"))
 
 
 @query
 def duration_outliers(spark, folder):
-    """Cuts on the pairs' difference; the default 40 hours is scaled by the views' 60-fold compression."""
-    far = compare.differing(compare.overlapping(*_common(spark, folder)), 40 / 60)
+    """The pairs whose durations differ by 40 hours."""
+    far = compare.differing(compare.overlapping(*_common_long(spark, folder)))
     return rounded(far.select(*PAIR).withColumn("negative_l", F.col("hours_l") < 0))
 
 

@@ -93,6 +93,36 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
         F.min("ts").alias("trip_start"), F.max("ts").alias("trip_stop")).drop("session")
 
 
+#: Hours that every fifth charge, by its first message, lasts longer in the stretched views: beyond each cut on durations, and below some.
+STRETCHED = {0: 60, 1: 45, 2: 12}
+
+
+def stretched_by(msg: str) -> Column:
+    """Whole hours to add to a charge."""
+    hours = F.lit(0)
+    for rest, more in STRETCHED.items():
+        hours = F.when(F.col(msg) % 5 == rest, more).otherwise(hours)
+    return hours
+
+
+def stretched(charges: DataFrame) -> DataFrame:
+    """Charges in the common columns of which some last for days."""
+    more = stretched_by("msg_start")
+    return charges.withColumns({"stop": F.timestamp_seconds(F.unix_seconds("stop") + 3600 * more), "hours": F.col("hours") + more})
+
+
+def stretched_status(charges: DataFrame) -> DataFrame:
+    """Grouped method-S charges of which some last for days."""
+    return charges.withColumn("ts_stop", F.timestamp_seconds(F.unix_seconds("ts_stop") + 3600 * stretched_by("msg_start")))
+
+
+def vehicle_status_resent(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages 74 of which some arrive twice, and some without a session."""
+    rows = vehicle_status(spark, folder)
+    again = rows.filter(F.col("msg") % 9 == 0).withColumn("session", F.when(F.col("msg") % 2 == 0, F.col("session")))
+    return rows.unionByName(again)
+
+
 def resent(spark: SparkSession, folder: str) -> DataFrame:
     """Messages 79 of which some arrive twice, the second time with another reading."""
     rows = summary(spark, folder)
