@@ -1,9 +1,9 @@
 """Repeated lines by levelled sorted runs of line hashes, in DataFrame functions only.
 
 A run is a table of line hashes, dealt into buckets and sorted within them, with how many documents of its batch
-held the line and the largest of their ids. A batch of documents is reduced to such rows, merge-anti-joined with all runs, and
-what no run holds becomes a run of its own: every line stands in one run. What runs hold already goes to a
-table of repeats, which brings the counts up to date. When a level has `FAN` runs they are merged into one of the next level, so
+held the line and the largest of their ids. A batch of documents is reduced to such rows and merge-anti-joined with all runs:
+what no run holds is a run of its own, so every line stands in one run; what runs hold already
+are repeats, which bring the counts up to date. When a level has `FAN` runs they are merged into one of the next level, so
 a batch meets few runs however many came before. All runs have equal buckets, so those joins move no rows.
 
 Lines that enough documents hold are dropped everywhere but in the largest of them. A line that a great part of all
@@ -19,13 +19,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.llm.common import LOWER, UPPER
-from voltrail.session import scratch_path, stage, stage_buckets
+from voltrail.session import stage, stage_buckets
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Batches that the documents of one call are dealt to, and runs of one level that are merged.
 BATCHES = 4
-FAN = 2
+FAN = 4
 #: A line held by more than one in so many occurrences is frequent; there are fewer such lines than this.
 FREQUENT = 10_000
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -65,7 +65,7 @@ def _row(text: str) -> Column:
 
 
 def occurrences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
-    """Written rows (batch, h1, h2, id, row, at): every line whose key is long enough, with its place. Rows without an id have none.
+    """Written rows (batch, h1, h2, id, row, at), in order of batch: every line whose key is long enough, with its place. Rows without an id have none.
 
     All rows of an id are in one batch.
     """
@@ -74,27 +74,27 @@ def occurrences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed = split.filter(F.length("line") >= min_chars).withColumn("key", key("line")).filter(F.length("key") >= min_chars)
     rows = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "id", "row", "at",
                         F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
-    path = scratch_path(docs.sparkSession, "occurrences")
-    rows.write.partitionBy("batch").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return stage(rows.sortWithinPartitions("batch", *HASH), "occurrences")  # a batch reads its pages only
 
 
 def ingest(index: Index, batch: DataFrame) -> Index:
-    """The index with the lines of one more batch: rows (h1, h2, id). An id must not be in two batches."""
-    counted = batch.groupBy(*HASH).agg(F.count_distinct("id").alias("docs"), F.max("id").alias("largest"))
-    own = stage_buckets(counted, HASH, name="batch", buckets=index.buckets)
-    run = Run(0, stage_buckets(unseen(own, index.runs), HASH, name="run", buckets=index.buckets))
-    repeats = index.repeats
-    if index.runs:
-        repeats = (*repeats, stage(unseen(own, [run]), "repeats"))
-    return compacted(Index(index.buckets, (*index.runs, run), repeats))
-
-
-def unseen(lines: DataFrame, runs: Sequence[Run]) -> DataFrame:
-    """The lines that no run holds, by merging sorted buckets."""
-    for run in runs:
-        lines = lines.join(run.lines.select(*HASH).hint("merge"), list(HASH), "left_anti")
-    return lines
+    """The index with the lines of one more batch: rows (h1, h2, id). An id must not be in two batches.
+
+    One merge with the runs and one write: the table of the batch says of each line whether it is new.
+    """
+    own = batch.groupBy(*HASH).agg(F.count_distinct("id").alias("docs"), F.max("id").alias("largest"))
+    table = stage_buckets(marked(own.repartition(index.buckets, *HASH), index.runs), HASH, name="run", buckets=index.buckets)
+    run, again = (table.filter(f).drop("new") for f in ("new", "not new"))
+    return compacted(Index(index.buckets, (*index.runs, Run(0, run)), (*index.repeats, again)))
+
+
+def marked(lines: DataFrame, runs: Sequence[Run]) -> DataFrame:
+    """The lines with a column `new`: no run holds them. Sorted buckets are merged, and no row of a run moves."""
+    new = F.lit(True)
+    for i, run in enumerate(runs):
+        lines = lines.join(run.lines.select(*HASH, F.lit(True).alias(f"in_{i}")).hint("merge"), list(HASH), "left")
+        new = new & F.col(f"in_{i}").isNull()
+    return lines.select(*HASH, "docs", "largest", new.alias("new"))
 
 
 def compacted(index: Index) -> Index:
