@@ -24,6 +24,8 @@ CAPACITY = 1024
 GROUP_TOKENS = 1 << 22
 CACHE_WORDS = 150_000
 DOCS_AT_ONCE, WORDS_AT_ONCE = 500, 2000
+#: How a byte-level vocabulary writes a blank.
+BLANK = "\u0120"
 #: A blank before a blank or the end of the text, after another blank: the text is then encoded in one piece.
 UNSAFE = re.compile(r"\s (?:\s|$)")
 
@@ -45,6 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
+        self.opens = np.array([self.tokenizer.id_to_token(i)[:1] == BLANK for i in range(self.tokenizer.get_vocab_size())])
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -52,6 +55,22 @@ class Encoder:
         parts = (texts[at:at + WORDS_AT_ONCE] for at in range(0, len(texts), WORDS_AT_ONCE))  # an encoding is far larger than its ids
         return [np.asarray(e.ids, "<u4").tobytes() for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a blank before it. Words are encoded many in a row and told apart by the tokens that begin with a
+        blank; those with blanks of another kind at an end, which could join a neighbour's, are encoded alone."""
+        out: dict[str, bytes] = {}
+        whole = [w for w in words if w and w == w.strip()]
+        for at in range(0, len(whole), WORDS_AT_ONCE):
+            part = whole[at:at + WORDS_AT_ONCE]
+            ids = np.asarray(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            begins = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(begins) == len(part):
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(part, begins, [*begins[1:], len(raw)]))
+        alone = [w for w in words if w not in out]
+        out.update(zip(alone, self._encode([" " + w for w in alone])))
+        return [out[w] for w in words]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
@@ -61,7 +80,7 @@ class Encoder:
         known = new & self.older.keys()
         self.recent.update((w, self.older[w]) for w in known)
         new = list(new - known)
-        self.recent.update(zip(new, self._encode([" " + w for w in new])))
+        self.recent.update(zip(new, self._encode_words(new)))
         begin = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, parts)]))
         later = self.recent.__getitem__
         return [next(begin) if p is None else next(begin) + b"".join(map(later, p[1:])) for p in parts]
