@@ -98,6 +98,19 @@ def row_key(id_column: str, text_column: str) -> Column:
                     F.length(text_column).alias("chars"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def bounded_sample(ids: DataFrame, group: str, id_column: str, most: int) -> DataFrame:
     """Up to `most` rows (group, id) of each group, in order of a hash of the id, as a written table.
 

@@ -16,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from voltrail.llm.common import components, text_bytes
+from voltrail.llm.common import broadcast_if_small, components, row_key, text_bytes, whole_row
 from voltrail.session import stage
 
 BITS, RADIUS = 64, 2
@@ -80,18 +80,34 @@ def links(points: DataFrame, fp: str = "fp") -> DataFrame:
         F.col(fp).alias("a"), F.col("low").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed), fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, fp (signed), fingerprint (16 hex digits), component_id, root, and `key` if one is given.
 
-    component_id is the smallest id reachable over fingerprints within two bits. Rows with a null id are linked
+    component_id is the smallest id reachable over fingerprints within two bits; root is a fingerprint that names the component. Rows with a null id are linked
     by their text like all others, but never name a component (it is null if no member has an id).
-    Repeated rows stay; an empty table gives no rows; other columns are not read.
+    Repeated rows stay; an empty table gives no rows; other columns are read by `key` alone.
     """
-    rows = stage(fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-                 .select("doc_id", "fp"), "fingerprints")
+    more = [] if key is None else [key.alias("key")]
+    rows = fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *more)).drop("text")
+    rows = stage(rows, "fingerprints")
     points = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp")))
     classes = points.join(roots, points.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(names, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = classes.join(names, "root").select("fp", "component_id", "root")
+    return rows.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *(["key"] if more else []))
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, all columns: one with the smallest id, of several of those the one with the smallest hash of its text.
+
+    A component in which no row has an id keeps one row. Rows with one id and texts that are not linked are in different components,
+    and each of those keeps its own. Names of columns do not matter; an empty table stays empty.
+    """
+    of = row_key(id_column, text_column)
+    found = near_duplicates(docs, id_column, text_column, of)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("key"))
+    kept = broadcast_if_small(kept.select("key"), 200_000, "kept")
+    rows = docs.select(whole_row(docs).alias("row"), of.alias("of"))
+    met = rows.join(kept, rows["of"].eqNullSafe(kept["key"]), "left_semi")
+    return met.dropDuplicates(["of"]).select("row.*")

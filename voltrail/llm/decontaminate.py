@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voltrail.llm.common import broadcast_if_small, row_key
+from voltrail.llm.common import broadcast_if_small, row_key, whole_row
 from voltrail.session import stage
 
 #: Kept positions of each mask.
@@ -45,15 +45,22 @@ def seeds(rows: DataFrame, hashes: str, masks=MASKS) -> DataFrame:
     return at.select(*others, "pos", F.explode(keys).alias("key")).filter("key is not null")
 
 
+def beneath(doc: str, diagonal: str, length: str) -> Column:
+    """The words of a document that lie under an item of some length at a diagonal; no more than the item has."""
+    begin = F.greatest(F.col(diagonal), F.lit(0))
+    return F.slice(doc, begin + 1, F.greatest(F.col(diagonal) + F.col(length) - begin, F.lit(0)))
+
+
 def overlap(item: str, doc: str, diagonal: str) -> Column:
-    """struct(score, equal, start): the best segment of an item laid over a document at a diagonal."""
+    """struct(score, equal, start): the best segment of an item laid over what :func:`beneath` cut out of a document at a diagonal."""
     first = F.greatest(F.lit(0), -F.col(diagonal))
-    last = F.least(F.size(item), F.size(doc) - F.col(diagonal)) - 1
+    offset = F.least(F.col(diagonal), F.lit(0))
+    last = F.least(F.size(item), F.size(doc) - offset) - 1
     here = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "same", "begin", "score", "equal", "start")])
 
     def step(acc, j):
-        hit = F.get(F.col(item), j) == F.get(F.col(doc), j + F.col(diagonal))
+        hit = F.get(F.col(item), j) == F.get(F.col(doc), j + offset)
         fresh = acc["run"] <= 0
         run = F.when(fresh, 0).otherwise(acc["run"]) + F.when(hit, 1).otherwise(-1)
         same = F.when(fresh, 0).otherwise(acc["same"]) + F.when(hit, 1).otherwise(0)
@@ -81,15 +88,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     items = stage(benchmark.select(F.col(item_column).alias("item_id"), word_hashes(item_text).alias("item"))
                   .distinct().withColumn("item_key", F.xxhash64("item_id", F.to_json("item"))), "items")
     lengths = [r.n for r in items.select(F.size("item").alias("n")).filter(F.col("n").between(1, SEEDED - 1)).distinct().orderBy("n").collect()]
-    wanted = seeds(items.filter(F.size("item") >= SEEDED).select("item_key", "item"), "item", masks)
+    sized = items.select("item_key", "item", F.size("item").alias("item_words"))
+    wanted = seeds(sized.filter(F.col("item_words") >= SEEDED), "item", masks)
     for n in lengths:
-        wanted = wanted.unionByName(seeds(items.filter(F.size("item") == n).select("item_key", "item"), "item", (whole(n),)))
-    wanted = broadcast_if_small(wanted.select("item_key", "key", F.col("pos").alias("at")).distinct(), SEEDS_TO_BROADCAST, "seeds")
+        wanted = wanted.unionByName(seeds(sized.filter(F.col("item_words") == n), "item", (whole(n),)))
+    wanted = broadcast_if_small(wanted.select("item_key", "item_words", "key", F.col("pos").alias("at")).distinct(), SEEDS_TO_BROADCAST, "seeds")
     found = seeds(sources.select("key_", word_hashes("text_").alias("words")), "words", (*masks, *map(whole, lengths)))
-    hits = found.join(wanted, "key").select("key_", "item_key", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    hits = found.join(wanted, "key").select("key_", "item_key", "item_words", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     hits = broadcast_if_small(hits, name="hits").alias("h")
     of = sources.join(hits, F.col("h.key_").eqNullSafe(sources["key_"])).select(
-        "h.key_", "h.item_key", "diagonal", word_hashes("text_").alias("words")).distinct()
+        "h.key_", "h.item_key", "diagonal", "item_words", word_hashes("text_").alias("all_words"))
+    of = of.select("key_", "item_key", "diagonal", beneath("all_words", "diagonal", "item_words").alias("words")).distinct()
     laid = of.join(items, "item_key").select(
         "key_", "item_id", F.size("item").alias("item_words"), overlap("item", "words", "diagonal").alias("o"))
     best = laid.groupBy("key_", "item_id", "item_words").agg(F.max("o").alias("o"))
@@ -99,7 +108,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The rows of `docs` that overlap no benchmark item; all columns stay."""
-    found = contaminated(docs, benchmark, id_column, text_column, **settings).select(F.col("key").alias("found_")).distinct()
+    """The rows of `docs` that overlap no benchmark item; all columns stay, whatever their names. Repeated rows stay or go together, null
+    texts and rows without an id are judged like all others, empty tables on either side take nothing away."""
+    found = contaminated(docs, benchmark, id_column, text_column, **settings).select("key").distinct()
     found = broadcast_if_small(found, name="found")
-    return docs.join(found, row_key(id_column, text_column).eqNullSafe(F.col("found_")), "left_anti")
+    rows = docs.select(whole_row(docs).alias("row"), row_key(id_column, text_column).alias("of"))
+    return rows.join(found, rows["of"].eqNullSafe(found["key"]), "left_anti").select("row.*")

@@ -203,7 +203,8 @@ def build_index(rows: DataFrame, id_column: str = "vec_id", vector_column: str =
             "neighbours": [b"".join(x.astype("<i4").tobytes() for _, x in levels)]})
 
     schema = ("dim int, shard int, shards int, vectors binary, ids binary, counts binary, sizes array<int>, members binary, neighbours binary")
-    return stage(placed.groupBy("dim", "shard").applyInPandas(make, schema), "graphs")
+    total = counts.agg(F.sum("shards")).first()[0] or 1  # a task per graph; small partitions would be put together
+    return stage(placed.repartition(min(total, 20_000), "dim", "shard").groupBy("dim", "shard").applyInPandas(make, schema), "graphs")
 
 
 def _levels(row) -> list[tuple[np.ndarray, np.ndarray]]:

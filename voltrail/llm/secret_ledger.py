@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from voltrail.llm.common import whole_row
+
 ASSIGN = "({})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]{{{},}})"
 
 
@@ -72,7 +74,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text_column: str = "t
     """Ledger rows (LEDGER_SCHEMA) for all blobs of `docs` with a rule version that the ledger lacks.
 
     Matches are leftmost and do not overlap, per rule; start and end count code points, end is
-    exclusive. A null text is the empty blob.
+    exclusive. A null text is the empty blob. Texts that occur often are scanned once; other columns are not read, so ids may be
+    null or repeated. An empty table gives no rows.
     """
     texts = docs.select(blob(text_column).alias("blob"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     texts = texts.groupBy("blob").agg(F.first("text").alias("text"))
@@ -92,15 +95,19 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text_column: str = "t
     return spans.groupBy("blob").agg(F.first("todo").alias("scanned"), F.array_sort(F.collect_list("span")).alias("findings"))
 
 
-def by_path(docs: DataFrame, ledger: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` with all findings of their text by the rule versions given (column `findings`)."""
+def by_path(docs: DataFrame, ledger: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, to: str = "findings") -> DataFrame:
+    """The rows of `docs` with all findings of their text by the rule versions given, in column `to`.
+
+    Every path is kept: repeated rows stay as often as they occur, ids are not read and may be null, a null text has the findings of the empty
+    blob, an empty table stays empty. A column of the input that is called `to` gives way; no other name matters.
+    """
     known = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     names = [r.name for r in rules]
     wanted = F.filter("findings", lambda f: f["rule"].isin(names))
     none = F.array().cast("array<struct<start: int, rank: int, end: int, rule: string>>")
-    joined = docs.withColumn("blob_", blob(text_column)).join(known.withColumnRenamed("blob", "blob_"), "blob_", "left")
-    return joined.withColumn("findings", F.coalesce(wanted, none)).drop("blob_")
+    joined = docs.select(whole_row(docs).alias("row"), blob(text_column).alias("blob")).join(known, "blob", "left")
+    return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != to], F.coalesce(wanted, none).alias(to))
 
 
 def listed(findings: str | Column) -> Column:
