@@ -1,7 +1,7 @@
 """A corpus pipeline in five stages, each of them one corpus operator over what the stage before kept.
 
 1. toxicity: documents that are likelier toxic than not, by their labelled neighbours, go.
-2. near duplicates: of every group linked by fingerprints the row with the smallest id stays.
+2. near duplicates: of every group linked by fingerprints (three-word shingles, at most two bits apart) the row with the smallest id stays.
 3. decontamination: documents that hold a benchmark passage go.
 4. secrets: every span found is replaced by a mark; all documents stay, `n_chars` is counted anew.
 5. packing: the rest is cut and packed into training sequences; one row per piece.
@@ -15,40 +15,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.llm import covering_simhash, decontaminate, packing, secret_ledger, toxicity
-from voltrail.llm.common import broadcast_if_small, held_out, ship, table
+from voltrail.llm.common import free_name, held_out, ship, table
 from voltrail.session import stage
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what scores under 0.5. Labels are learnt from the rows of the first input that op1 may learn from as well."""
+    """Keeps what scores under 0.5. Labels are learnt from the rows of the first input that op1 may learn from as well.
+
+    Null and empty texts have the score of a text without known words; ids are not read, so null and repeated ones stay or go by their
+    texts; an empty table stays empty. Further columns stay, whatever their names.
+    """
     every, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
-    model = toxicity.fit(every, labels, "toxic", ~held_out("doc_id", 5, 0))
-    return toxicity.scored(docs, model, to="toxicity_").filter("toxicity_.score < 0.5").drop("toxicity_")
+    model, score = toxicity.fit(every, labels, "toxic", ~held_out("doc_id", 5, 0)), free_name(docs, "toxicity")
+    return toxicity.scored(docs, model, to=score).filter(F.col(f"{score}.score") < 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: the one with the smallest id. A group in which no row has an id keeps one row."""
+    """Keeps one row of each group, as covering_simhash.representatives chooses it: the one with the smallest id."""
     ship(spark)
-    found = covering_simhash.near_duplicates(docs)
-    named = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    kept = docs.join(broadcast_if_small(named, 200_000, "kept"), F.col("doc_id") == F.col("kept_"), "left_semi")
-    nameless = covering_simhash.fingerprints(docs.filter("doc_id is null"), to="fp_").join(
-        found.filter("component_id is null").select(F.col("fp").alias("fp_")).distinct(), "fp_", "left_semi")
-    columns = docs.columns
-    return kept.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["fp_"]).select(*columns))
+    return covering_simhash.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a benchmark passage."""
+    """Keeps documents without a benchmark passage; null and empty texts, null and repeated ids, and other columns as in decontaminate.clean."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; a row without any keeps its n_chars as it is."""
-    found = secret_ledger.by_path(docs, stage(secret_ledger.scan(docs), "ledger"))
-    masked = found.withColumn("text", secret_ledger.redact("text", "findings"))
-    counted = F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", counted).select(*docs.columns)
+    """Masks secrets; a row without any keeps its text, null or not, and its n_chars as they are. All rows stay, with all columns."""
+    findings = free_name(docs, "findings")
+    found = secret_ledger.by_path(docs, stage(secret_ledger.scan(docs), "ledger"), to=findings)
+    masked = found.withColumn("text", secret_ledger.redact("text", findings))
+    counted = F.when(F.size(findings) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", counted).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
