@@ -92,6 +92,63 @@ def test_finish_inside_sets_the_stop(spark):
     assert (row["start"], row["stop"], row["finished_last"]) == (at(100), at(800), 3)
 
 
+@pytest.mark.parametrize("piece", [None, 3])
+def test_charge_begun_last_matches_a_plain_loop(spark, piece):
+    """Messages at the same second, at a start, without a time, far apart and beyond all charges; bins that hold nothing, bins that hold much."""
+    rng = random.Random(12)
+    messages, charges = [], []
+    for v in "abc":
+        for m in range(60):
+            messages.append((v, 1, m, at(rng.choice([None, rng.randrange(0, 60_000), rng.randrange(0, 900) * 100, 5_000_000])), rng.choice([0, 1, 4, None])))
+        starts = sorted({rng.randrange(0, 900) * 100 for _ in range(12)})
+        charges += [(v, k, at(a), at(a), at(a + rng.randrange(0, 9000))) for k, a in enumerate(starts)]
+    table = spark.createDataFrame(messages, "vehicle string, session long, msg long, ts timestamp, status int")
+    spans = spark.createDataFrame(charges, "vehicle string, charge_no long, charge_start timestamp, start timestamp, stop timestamp")
+    want = []
+    for v in "abc":
+        line = [(x[3] is not None, x[3], 1, x[2], x) for x in messages if x[0] == v] + [(True, c[3], 0, 0, c) for c in charges if c[0] == v]
+        line.sort(key=lambda e: (e[0], e[1] or T0, e[2], e[3]))
+        last = None
+        for i, e in enumerate(line):
+            if e[2] == 0:
+                last = e[4]
+            else:
+                after = line[i + 1] if i + 1 < len(line) else None
+                want.append((v, e[4][3], e[4][2], e[4][4], after[4][4] if after and after[2] == 1 else None, *((last[2], last[3], last[4]) if last else (None,) * 3)))
+    if piece:
+        spark.conf.set("spark.voltrail.series.maxRows", str(piece))
+    try:
+        got = L.asof(spans, table).collect()
+    finally:
+        spark.conf.unset("spark.voltrail.series.maxRows")
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_bucketed_messages_are_not_shuffled(spark, small):
+    """Without broadcasts: messages 79 and 74 are read from their buckets into joins, windows and groups; only rows per bin move."""
+    statuses, readings = L.statuses(V.statuses(spark, small)), L.readings(V.vehicle_status(spark, small))
+    charges = L.stage(L.charges(V.vehicle_status(spark, small), V.trips(spark, small)))
+    spans = L.stage(L.spans(charges, statuses))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, table in ((L.refined(spans, statuses), "statuses"), (L.enriched(L.stage(L.refined(spans, statuses)), readings), "readings"),
+                            (L.spans(charges, statuses), "statuses")):
+            plan = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+            scans = [i for i, line in enumerate(plan) if f"voltrail_{table}_" in line]
+            assert scans and all("Bucketed: true" in plan[i] for i in scans)
+            for i in scans:
+                depth, above = len(plan[i]) - len(plan[i].lstrip(" :+-")), []
+                for line in reversed(plan[:i]):
+                    here = len(line) - len(line.lstrip(" :+-"))
+                    if here < depth:
+                        depth = here
+                        above.append(line.lstrip(" :+-"))
+                first = next(x for x in above if x.startswith(("Exchange", "SortMergeJoin", "Window", "HashAggregate", "SortAggregate", "ObjectHashAggregate")))
+                assert not first.startswith("Exchange")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_late_status_needs_the_next_message(spark):
     messages = statuses(spark, [(1, 100, 1), (2, 1500, 1), (3, 1600, 1), (4, 1700, 0)])
     late = refine.late_status(L.asof(L.spans(charge(spark, 0, 1000), messages), messages)).first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from voltrail.operators.intervals import points_inside
-from voltrail.operators.refine import TIME_BIN
+from voltrail.operators.refine import BIN, TIME_BIN
 from voltrail.schemas import CHARGE_ENRICHED_COLUMNS
 
 READINGS = {"temperature": "temperature", "range": "range_km", "soc": "soc"}
@@ -14,9 +14,10 @@ READINGS = {"temperature": "temperature", "range": "range_km", "soc": "soc"}
 def charge_endpoints(charges: DataFrame, messages: DataFrame) -> DataFrame:
     """First and last message, by (session, msg), among those inside the charges of each start."""
     spans = charges.select("vehicle", "start", "stop").distinct()
-    points = messages.select("vehicle", "session", "msg", "ts", *READINGS.values())
+    bins = [BIN] if BIN in messages.columns else []
+    points = messages.select("vehicle", "session", "msg", "ts", *READINGS.values(), *bins)
     inside = points_inside(points, spans, ["vehicle"], F.unix_seconds("ts"), F.unix_seconds("start"),
-                           F.unix_seconds("stop"), TIME_BIN, F.col("ts").between(F.col("start"), F.col("stop")))
+                           F.unix_seconds("stop"), TIME_BIN, F.col("ts").between(F.col("start"), F.col("stop")), *bins)
     row, place = F.struct("session", "msg", *READINGS.values()), F.struct("session", "msg")
     ends = inside.groupBy("vehicle", "start").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
     columns = []

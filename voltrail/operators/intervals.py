@@ -83,17 +83,25 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
 
 
 def points_inside(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: Column,
-                  low: Column, high: Column, width: int, condition: Column) -> DataFrame:
+                  low: Column, high: Column, width: int, condition: Column, finest: str | None = None) -> DataFrame:
     """Inner join of points to the intervals that hold them (both ends included).
 
     The points are the large side: they are copied only to levels that some interval
     uses, which is one level when no interval is longer than ``FAN`` bins. The binned intervals are
-    written, so that they are made once for the list of levels (at most eleven) and for the join.
+    written, so that they are made once for the list of levels (at most eleven) and for the join. A column ``finest``
+    that holds the points' bins of the finest level is joined as it is, so points dealt by it are not shuffled.
     """
     homed = _homed(intervals.filter(low <= high), low, high, width, FAN, "_r")
     wide = stage(_in_bins(homed, "_r", width, FAN, {k: F.col("_rhome") == k for k in range(levels(width))}), "intervals")
-    used = sorted(row["_level"] for row in wide.select("_level").distinct().collect())
-    steps = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(at / (width * FAN ** k)).alias("_bin")) for k in used or [0]])
-    placed = points.select("*", F.inline(steps))
-    pairs = placed.join(wide, [*keys, "_level", "_bin"]).filter(condition)
-    return pairs.drop("_level", "_bin", "_rfirst")
+    used = sorted(row["_level"] for row in wide.select("_level").distinct().collect()) or [0]
+    parts = []
+    if finest and 0 in used:
+        used.remove(0)
+        near = wide.filter("_level = 0").drop("_level").withColumnRenamed("_bin", finest)
+        parts.append(points.join(near, [*keys, finest]))
+    if used:
+        steps = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(at / (width * FAN ** k)).alias("_bin")) for k in used])
+        far = wide.filter("_level > 0") if finest else wide
+        parts.append(points.select("*", F.inline(steps)).join(far, [*keys, "_level", "_bin"]).drop("_level", "_bin"))
+    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return pairs.filter(condition).drop("_rfirst", *([finest] if finest else []))

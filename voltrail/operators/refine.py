@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.functions.clock import hours_between
 from voltrail.operators.dedup import first_per_key, number_globally
 from voltrail.operators.intervals import points_inside
 from voltrail.operators.series import Carried, LongSeries, as_series, carry
+from voltrail.session import stage_buckets
 
 # Charge status codes.
 STATUS_NAMES = {0: "no_charging", 1: "ongoing", 2: "failure", 3: "remote", 4: "finished"}
 NO_CHARGING, ONGOING, FINISHED = 0, 1, 4
 TIME_BIN = 4 * 3600  # seconds per bin
+BIN, NO_BIN = "_time_bin", -(2 ** 62)
 LATE_HOURS = 2
 
 
@@ -22,6 +26,17 @@ def status_messages(summary: DataFrame) -> DataFrame:
                          [F.col("session"), F.col("ts"), F.col("status")]).drop("session")
 
 
+def binned(messages: DataFrame) -> DataFrame:
+    """Messages with the time bin that they lie in; those without a time share one."""
+    return messages.withColumn(BIN, F.coalesce(F.floor(F.unix_seconds("ts") / TIME_BIN), F.lit(NO_BIN)))
+
+
+def in_buckets(messages: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """A written table of messages by vehicle and time bin. Steps that meet it on both, or look from bin to bin, read it without a
+    shuffle; a vehicle with many messages lies in many buckets."""
+    return stage_buckets(binned(messages), ("vehicle", BIN), order, name)
+
+
 def first_charges(charges: DataFrame) -> DataFrame:
     return first_per_key(charges, ["vehicle", "charge_start"], [F.col("charge_stop"), F.col("charge_no")])
 
@@ -34,7 +49,7 @@ def status_spans(charges: DataFrame, statuses: DataFrame) -> DataFrame:
     spans = charges.select("vehicle", "charge_start", "charge_stop")
     inside = points_inside(statuses, spans, ["vehicle"], F.unix_seconds("ts"), F.unix_seconds("charge_start"),
                            F.unix_seconds("charge_stop"), TIME_BIN,
-                           F.col("ts").between(F.col("charge_start"), F.col("charge_stop")))
+                           F.col("ts").between(F.col("charge_start"), F.col("charge_stop")), BIN if BIN in statuses.columns else None)
     found = []
     for code, name in STATUS_NAMES.items():
         msg = F.when(F.col("status") == code, F.col("msg"))
@@ -67,6 +82,34 @@ def status_asof(charges: DataFrame, statuses: DataFrame, long: LongSeries | None
                          F.col("_open.start").alias("start"), F.col("_open.stop").alias("stop"))
 
 
+def status_asof_in_bins(charges: DataFrame, statuses: DataFrame) -> DataFrame:
+    """:func:`status_asof` over a table of :func:`in_buckets`, whose messages stay where they are.
+
+    One row per vehicle and bin tells its messages which charges begin in the bin, which one was begun before, and what the first message after the
+    bin is. A message shows the next one's status if no charge begins between them, which is so if both have the same charge.
+    """
+    charge = F.struct("start", "charge_start", "stop")
+    begun = binned(charges.withColumn("ts", F.col("start"))).groupBy("vehicle", BIN).agg(F.array_sort(F.collect_list(charge)).alias("_begun"))
+    first = F.min_by(F.struct("ts", "status"), F.struct("ts", "msg"))
+    cells = statuses.groupBy("vehicle", BIN).agg(first.alias("_first")).join(begun, ["vehicle", BIN], "full_outer")
+    bins = Window.partitionBy("vehicle").orderBy(BIN)
+    before = F.last(F.element_at("_begun", -1), ignorenulls=True).over(bins.rowsBetween(Window.unboundedPreceding, -1))
+
+    def open_at(ts: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter("_begun", lambda c: c["start"] <= ts), F.lit(-1)), F.col("_before"))
+
+    cells = cells.withColumn("_before", before).filter(F.col("_first").isNotNull())
+    shown = F.struct(F.col("_first.status").alias("status"), open_at(F.col("_first.ts")).alias("charge"))
+    cells = cells.withColumn("_after", F.lead(shown).over(bins)).drop("_first")
+    rows = statuses.join(cells, ["vehicle", BIN], "left").withColumn("_open", open_at(F.col("ts")))
+    here = Window.partitionBy("vehicle", BIN).orderBy("ts", "msg")
+    following = F.coalesce(F.lead(F.struct("status", F.col("_open").alias("charge"))).over(here), F.col("_after"))
+    rows = rows.withColumn("_next", following)
+    return rows.select("vehicle", "ts", "msg", F.col("status").cast("int").alias("status"),
+                       F.when(F.col("_next.charge").eqNullSafe(F.col("_open")), F.col("_next.status")).cast("int").alias("next_status"),
+                       F.col("_open.charge_start").alias("charge_start"), F.col("_open.start").alias("start"), F.col("_open.stop").alias("stop"))
+
+
 def late_status(asof: DataFrame) -> DataFrame:
     """First message after a charge's stop that shows it going on (then ended), or finished."""
     after = F.col("ts") > F.col("stop")

@@ -65,8 +65,14 @@ def _spans(spark, folder):
     return L.spans(stage(_slope_charges(spark, folder)), V.statuses(spark, folder))
 
 
+def _spans_and_statuses(spark, folder):
+    """The spans and the messages 79, each as one written table."""
+    statuses = L.statuses(V.statuses(spark, folder))
+    return stage(L.spans(stage(_slope_charges(spark, folder)), statuses)), statuses
+
+
 def _refined(spark, folder):
-    return L.refined(stage(_spans(spark, folder)), V.statuses(spark, folder))
+    return L.refined(*_spans_and_statuses(spark, folder))
 
 
 def _enriched(spark, folder):
@@ -408,12 +414,12 @@ def charge_ids(spark, folder):
 
 @query
 def charge_asof(spark, folder):
-    return L.asof(stage(_spans(spark, folder)), V.statuses(spark, folder))
+    return L.asof(*_spans_and_statuses(spark, folder))
 
 
 @query
 def late_status(spark, folder):
-    return refine.late_status(L.asof(stage(_spans(spark, folder)), V.statuses(spark, folder)))
+    return refine.late_status(L.asof(*_spans_and_statuses(spark, folder)))
 
 
 @query
