@@ -92,6 +92,22 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 500_000, name: str = "sid
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+#: A key of more than one in so many rows is frequent; there are fewer such keys than this.
+FREQUENT = 10_000
+
+
+def joined_to_frequent(rows: DataFrame, counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of written rows to a written table of keys, of which column `n` says how many of the rows have each.
+
+    Rows of frequent keys stay where they are: those keys are fewer than FREQUENT by their number, and are broadcast. The other
+    rows are shuffled, no more than one in FREQUENT of them to a key. Every row meets its key either way.
+    """
+    most = rows.count() / FREQUENT
+    frequent = F.broadcast(counted.filter(F.col(n) > most).drop(n))
+    others = rows.join(frequent.select(*keys), keys, "left_anti").join(counted.filter(F.col(n) <= most).drop(n), keys)
+    return rows.join(frequent, keys).unionByName(others)
+
+
 def row_key(id_column: str, text_column: str) -> Column:
     """Identity of a row: its id and its text. Rows that agree in both are treated alike by every operator."""
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text"),

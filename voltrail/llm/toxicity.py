@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.llm.common import labelled_sample
@@ -56,29 +57,39 @@ class BlockMaxIndex:
     """
 
     def __init__(self, rows: Iterable[dict[int, float]], terms: int):
-        packed = [(np.fromiter(row, np.int64, len(row)), np.fromiter(row.values(), np.float64, len(row))) for row in rows]
-        self.size = len(packed)
-        self.blocks = max(1, -(-self.size // BLOCK))
-        strongest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in packed], np.int64)
-        self.example = np.lexsort((np.arange(self.size), strongest))
-        self.place = np.empty(self.size, np.int64)
-        self.place[self.example] = np.arange(self.size)
-        term = np.concatenate([t for t, _ in packed] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([w for _, w in packed] or [np.zeros(0)])
-        place = self.place[np.repeat(np.arange(self.size), [len(t) for t, _ in packed])]
-        del packed
+        packed = [(np.fromiter(row, np.int32, len(row)), np.fromiter(row.values(), np.float64, len(row))) for row in rows]
+        owner = np.repeat(np.arange(len(packed), dtype=np.int32), [len(t) for t, _ in packed])
+        self._build(owner, np.concatenate([t for t, _ in packed] or [np.zeros(0, np.int32)]), np.concatenate([w for _, w in packed] or [np.zeros(0)]), len(packed), terms)
+
+    @classmethod
+    def of_entries(cls, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms: int) -> "BlockMaxIndex":
+        """The index of so many examples, given by their entries (example, term, weight) in order of the examples."""
+        index = cls.__new__(cls)
+        index._build(owner, term, weight, size, terms)
+        return index
+
+    def _build(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms: int) -> None:
+        self.size = size
+        self.blocks = max(1, -(-size // BLOCK))
+        strongest = np.full(size, -1, np.int64)
+        by_weight = np.lexsort((weight, owner))
+        strongest[owner[by_weight]] = term[by_weight]  # the last one of an example stays
+        del by_weight
+        self.example = np.lexsort((np.arange(size), strongest))
+        self.place = np.empty(size, np.int64)
+        self.place[self.example] = np.arange(size)
         frequency = np.bincount(term, minlength=terms)
         dense = np.argsort(-frequency, kind="stable")[:DENSE]
-        dense = dense[frequency[dense] > self.size * DENSE_SHARE]
-        self.column = np.full(terms, -1, np.int64)
+        dense = dense[frequency[dense] > size * DENSE_SHARE]
+        self.column = np.full(terms, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        column = self.column[term]
+        rare = self.column[term] < 0
         self.dense = np.zeros((self.blocks * BLOCK, len(dense)))
-        self.dense[place[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.dense[self.place[owner[~rare]], self.column[term[~rare]]] = weight[~rare]
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
-        order = np.flatnonzero(column < 0)
-        order = order[np.argsort(term[order], kind="stable")]
-        self.posting, self.weight = place[order], weight[order]
+        owner, term, weight = owner[rare], term[rare], weight[rare]
+        order = np.argsort(term, kind="stable")
+        self.posting, self.weight = self.place[owner[order]].astype(np.int32), weight[order]
         self.of_term = np.searchsorted(term[order], np.arange(terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +158,10 @@ class Model:
         self.terms = {t: i for i, t in enumerate(names)}
         self.weights = weights
         lengths = [len(t) // 4 for t, _ in counts]
-        owner = np.repeat(np.arange(len(counts)), lengths)
-        term, n = (np.frombuffer(b"".join(c[side] for c in counts), np.int32).astype(np.int64) for side in (0, 1))
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), lengths)
+        term, n = (np.frombuffer(b"".join(c[side] for c in counts), np.int32) for side in (0, 1))
         owner, term, weight = self._unit(owner, term, n, len(counts))
-        ends = np.searchsorted(owner, np.arange(len(counts) + 1))
-        self.index = BlockMaxIndex((dict(zip(term[a:b].tolist(), weight[a:b].tolist())) for a, b in zip(ends, ends[1:])), len(names))
+        self.index = BlockMaxIndex.of_entries(owner, term, weight, len(counts), len(names))
         self.none = (share * 0.5 + 0.25) / 2
         self.slope, self.shift = 1.0, 0.0
         self._calibrate(owner, term, weight, share)
@@ -265,14 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column
         yield from _batches({"term": list(seen), "n": list(seen.values())}, FREQUENCY)
 
     texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    held = texts.mapInArrow(frequency, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = texts.mapInArrow(frequency, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
     documents = np.zeros(len(names))
-    place = {t: i for i, t in enumerate(names)}
-    documents[[place[t] for t in held["term"].to_pylist()]] = held["n"].to_numpy()
+    documents[pc.index_in(held["term"].combine_chunks(), value_set=listed["term"].combine_chunks()).to_numpy(zero_copy_only=False)] = held["n"].to_numpy()
     idf = np.log((docs.count() + 1) / (documents + 1))
     with np.errstate(divide="ignore", invalid="ignore"):
         association = (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n0 + n1 - a - b) * float(n0) * n1)
     weights = np.maximum(idf, 0) * (LEAST + np.nan_to_num(association, posinf=0))
+    del held, listed, a, b, documents, idf, association
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = {t: i for i, t in enumerate(shared.value)}
@@ -282,8 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column
                                               "ns": [np.array(list(f.values()), np.int32).tobytes() for f in found]}, KEPT)
 
     kept = sample.mapInArrow(keep, "id long, y int, terms binary, ns binary").toArrow().sort_by("id")
-    return Model(kept["id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), list(zip(kept["terms"].to_pylist(), kept["ns"].to_pylist())),
-                 names, weights, share)
+    ids, y, counts = kept["id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), list(zip(kept["terms"].to_pylist(), kept["ns"].to_pylist()))
+    del kept
+    return Model(ids, y, counts, names, weights, share)
 
 
 COUNTED = pa.schema([("term", pa.binary()), ("y", pa.int32()), ("n", pa.int64())])

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voltrail.llm.common import broadcast_if_small, text_bytes
+from voltrail.llm.common import broadcast_if_small, joined_to_frequent, text_bytes
 from voltrail.session import stage
 
 WINDOW, SHINGLE = 50, 8
@@ -197,8 +197,10 @@ def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: st
     names = broadcast_if_small(wanted.select("id", "digest"), name="names")
     texts = rows.join(names, ["id", "digest"], "left_semi").join(wanted, ["id", "digest"]).select("id", part("digest"), "text", "anchors")
     found = stage(texts.mapInArrow(_window_rows(window, shingle), "id long, part int, h1 long, h2 long, pos int"), "windows")
-    least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    marked = found.join(least, ["h1", "h2"]).filter("id > least").groupBy("id", "part").agg(F.collect_set("pos").alias("starts"))
+    least = stage(found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+                  .filter("least < most").select("h1", "h2", "least", "n"), "least")
+    met = joined_to_frequent(found, least, ["h1", "h2"], "n").filter("id > least")
+    marked = met.groupBy("id", "part").agg(F.collect_set("pos").alias("starts"))
     return copies, stage(marked.mapInArrow(_run_rows, RUNS), "marks")
 
 
