@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column
                 for column in rows.T:
                     np.add.at(total, column, near)
         used = np.flatnonzero(total[:-1].any(axis=1))
-        yield pd.DataFrame({"term": used, "v": list(total[used])})
+        if len(used):
+            yield pd.DataFrame({"term": used, "v": list(total[used])})
 
     sums = sample.mapInPandas(around, "term long, v array<long>").groupBy("term").agg(
         F.array(*[F.sum(F.col("v")[i]) for i in range(SIZE)]).alias("v"))
@@ -213,7 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_column
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", to: str = "quality_score") -> DataFrame:
-    """The rows with the probability of label 1. Null and blank texts pool to zeros and get the network's answer for those."""
+    """The rows with the probability of label 1. Null and blank texts pool to zeros and get the network's answer for those.
+
+    Ids are not read, equal texts get equal scores, an empty table stays empty. `to` must not be a column of the input.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
