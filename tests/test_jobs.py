@@ -100,6 +100,37 @@ def test_daily_job_equals_all_windows_and_can_be_repeated(spark, landed, tmp_pat
     assert len({k[1:3] for k in written}) == len(written)  # no charge start twice
 
 
+def test_tasks_of_the_chain_hold_as_many_rows_whatever_the_input(spark):
+    """A task sorts its rows several times, so its memory goes with its rows; rows without a vehicle are in no task's count."""
+    from voltrail.plans import status_method
+
+    def battery(vehicles):
+        rows = spark.range(vehicles * 30).selectExpr("nullif(id div 30, 7) as vehicle", "id % 30 as msg")
+        ts = F.timestamp_seconds(F.lit(1704067200) + F.col("msg") * 20000)
+        none = F.lit(None)
+        return rows.select(F.lit(25).alias("vtype"), "vehicle", F.lit(1).cast("long").alias("session"), F.lit(68).alias("msg_type"), "msg", ts.alias("ts"),
+                           F.lit(99.0).alias("rts"), none.cast("long").alias("load_level"), none.cast("double").alias("summary_soc"),
+                           (F.col("msg") * 3 + 1).alias("soc"), F.lit(0).alias("charge_mode"), (F.col("msg") % 2).cast("int").alias("status"))
+
+    def largest_task(frame):
+        rows = status_method.repaired(rolling.in_windows(frame, FIRST, END).drop("part"), rolling.WINDOW_KEYS)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        return max(sizes), sum(sizes)
+
+    def charges(frame):
+        return sorted(map(tuple, rolling.all_windows(frame, FIRST, END).collect()), key=str)
+
+    plain = charges(battery(50))
+    spark.conf.set("spark.voltrail.series.taskRows", "500")
+    try:
+        for vehicles in (50, 400):
+            most, rows = largest_task(battery(vehicles))
+            assert rows > 40 * vehicles and most < 1000
+        assert charges(battery(50)) == plain and len(plain) > 49
+    finally:
+        spark.conf.unset("spark.voltrail.series.taskRows")
+
+
 def test_chain_of_repeats(spark):
     """A charge dropped in one window no longer hides its successor in the next."""
     rows = [("a", date(2024, 1, 1), 1, 10), ("a", date(2024, 1, 2), 5, 20), ("a", date(2024, 1, 3), 15, 30), ("a", date(2024, 1, 4), 40, 50)]

@@ -222,6 +222,20 @@ def test_trips_and_flags_take_one_shuffle_of_the_messages(spark, small):
     assert "Join" not in plan
 
 
+def test_ordinary_rows_are_counted_beside_long_series(spark):
+    from voltrail.operators.series import measure, together
+
+    rows = spark.range(900).selectExpr("case when id < 600 then 'long' when id < 800 then concat('v', id % 20) end as vehicle", "id as msg")
+    long, ordinary = measure(rows, ("vehicle",), 50)
+    assert long.frame.collect() == [("long",)] and ordinary == 200
+    assert measure(rows, ("vehicle",), 600) == (None, 800) and measure(rows.limit(0), ("vehicle",)) == (None, 0)
+    spark.conf.set("spark.voltrail.series.taskRows", "50")
+    try:
+        assert together(rows, ("vehicle",), None, 800).rdd.getNumPartitions() == 16
+    finally:
+        spark.conf.unset("spark.voltrail.series.taskRows")
+
+
 def test_series_with_outliers_and_ties_are_cut_evenly(spark):
     from voltrail.operators.series import as_series, find_long
 

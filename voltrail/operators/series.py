@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -19,6 +20,8 @@ from voltrail.session import stage
 
 MAX_ROWS_SETTING = "spark.voltrail.series.maxRows"
 MAX_ROWS = 2_000_000
+TASK_ROWS_SETTING = "spark.voltrail.series.taskRows"
+TASK_ROWS = 100_000
 MARKS = ("_piece", "_own", "_pos")
 
 
@@ -79,16 +82,24 @@ class Series:
 
 
 def find_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> LongSeries | None:
-    """List all series above the row limit; None when there are none.
+    """List all series above the row limit; None when there are none."""
+    return measure(df, keys, max_rows)[0]
 
-    One pre-aggregated count over the keys. The list is written to the shared folder, so Spark knows its size
-    when it joins it.
+
+def measure(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> tuple[LongSeries | None, int]:
+    """The series above the row limit, None when there are none, and the number of rows of all others.
+
+    One pre-aggregated count over the keys. A row per long series and one for the others are written to the shared folder,
+    so Spark knows their size when it joins them.
     """
     if max_rows is None:
         max_rows = int(df.sparkSession.conf.get(MAX_ROWS_SETTING, str(MAX_ROWS)))
     counted = with_keys(df, keys).groupBy(*keys).agg(F.count("*").alias("_n"))
-    long = stage(counted.filter(F.col("_n") > max_rows).select(*keys), "long-keys")
-    return None if long.isEmpty() else LongSeries(long, tuple(keys), max_rows)
+    key = F.when(F.col("_n") > max_rows, F.struct(*keys)).alias("_key")
+    sizes = stage(counted.groupBy(key).agg(F.sum("_n").alias("_rows")), "long-keys")
+    found, rows = sizes.agg(F.count("_key"), F.sum(F.when(F.col("_key").isNull(), F.col("_rows")))).first()
+    long = sizes.filter("_key is not null").select("_key.*")
+    return LongSeries(long, tuple(keys), max_rows) if found else None, rows or 0
 
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -111,9 +122,17 @@ def by_length(df: DataFrame, long: LongSeries | None,
     return step(short, None).unionByName(step(cut, long))
 
 
-def together(df: DataFrame, keys: Sequence[str], long: LongSeries | None) -> DataFrame:
-    """One shuffle that serves every later window and key that contains ``keys``."""
-    return df if long else df.repartition(*keys)
+def together(df: DataFrame, keys: Sequence[str], long: LongSeries | None, rows: int = 0) -> DataFrame:
+    """One shuffle that serves every later window and key that contains ``keys``.
+
+    With ``rows``, about the number of rows, a task gets some ``spark.voltrail.series.taskRows`` (100,000) of them, or a quarter of that
+    where cores would be idle: a task sorts its rows several times, and the memory for that does not grow with the input.
+    """
+    if long:
+        return df
+    most = int(df.sparkSession.conf.get(TASK_ROWS_SETTING, str(TASK_ROWS)))
+    tasks = max(ceil(rows / most), min(df.sparkSession.sparkContext.defaultParallelism, ceil(4 * rows / most)))
+    return df.repartition(tasks, *keys) if tasks > 1 else df.repartition(*keys)
 
 
 def as_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], long: LongSeries | None = None,

@@ -20,21 +20,22 @@ TOGETHER = 64  # overlapping trips that are carried in one row
 MIN_GAIN = 1
 
 
-def attach_trips(messages: DataFrame, trips: DataFrame, long: LongSeries | None = None) -> DataFrame:
+def attach_trips(messages: DataFrame, trips: DataFrame, long: LongSeries | None = None, rows: int = 0) -> DataFrame:
     """Each status message with the trips its id falls in; trip times moved inwards by ten seconds.
 
     Trips that overlap one another are put together, so that what is left follows one after the other, and the last
     of it is carried along the message ids: in the partitioning by vehicle that the later steps use, and for a message as often as
     it was sent. A message keeps one row per trip that holds it, or one without a trip. Only trips among more than
-    ``TOGETHER`` overlapping ones are looked up by bins of message ids. With ``long`` both tables are of long vehicles.
+    ``TOGETHER`` overlapping ones are looked up by bins of message ids. With ``long`` both tables are of long vehicles;
+    ``rows`` is the number of messages where it is known.
     """
     spans = trips.filter("msg_first <= msg_last").select("vehicle", "msg_first", "msg_last", "trip_start", "trip_stop").withColumns({
         "trip_start_inner": F.col("trip_start") + F.expr(TRIP_MARGIN),
         "trip_stop_inner": F.col("trip_stop") - F.expr(TRIP_MARGIN)})
     groups, crowded = _trip_groups(spans, long)
-    rows = messages.withColumns({"_at": F.col("msg"), "_kind": F.lit(1)})
+    asking = messages.withColumns({"_at": F.col("msg"), "_kind": F.lit(1)})
     markers = groups.select("vehicle", F.col("first").alias("_at"), F.lit(0).alias("_kind"), "_trips")
-    merged = together(rows.unionByName(markers, allowMissingColumns=True), KEYS, long)
+    merged = together(asking.unionByName(markers, allowMissingColumns=True), KEYS, long, rows)
     series = carry(as_series(merged, KEYS, ("_at", "_kind", "ts", "session"), long), {"_last": Carried(F.col("_trips"))})
     holding = F.filter("_last", lambda t: F.col("msg").between(t["msg_first"], t["msg_last"]))
     names = ("trip_start", "trip_stop", "trip_start_inner", "trip_stop_inner")

@@ -10,22 +10,22 @@ from pyspark.sql import DataFrame
 
 from voltrail.operators import enrich as E, refine as R, slope as S
 from voltrail.operators.dedup import dedup_messages
-from voltrail.operators.series import LongSeries, by_length, find_long, split
+from voltrail.operators.series import LongSeries, by_length, find_long, measure, split
 from voltrail.session import stage
 
 KEYS = ("vehicle",)
 
 
 def with_trips(messages: DataFrame, trips: DataFrame) -> DataFrame:
-    return S.attach_trips(messages, trips)
+    return S.attach_trips(messages, trips, rows=measure(messages, KEYS)[1])
 
 
 def _run(messages: DataFrame, trips: DataFrame, step) -> DataFrame:
-    long = find_long(messages, KEYS)
+    long, ordinary = measure(messages, KEYS)
     if long is None:
-        return step(S.attach_trips(messages, trips), None)
+        return step(S.attach_trips(messages, trips, rows=ordinary), None)
     few, many = split(trips, long)
-    return by_length(messages, long, lambda rows, long: step(S.attach_trips(rows, many if long else few, long), long))
+    return by_length(messages, long, lambda rows, long: step(S.attach_trips(rows, many if long else few, long, ordinary), long))
 
 
 def flags(messages: DataFrame, trips: DataFrame) -> DataFrame:

@@ -15,22 +15,24 @@ from pyspark.sql import Column, DataFrame
 from voltrail.operators import plugs
 from voltrail.operators.battery_log import ORDER, RECOVER_ROWS, recovered, settle_soc
 from voltrail.operators.dedup import dedup_messages
-from voltrail.operators.series import LongSeries, Series, as_series, by_length, find_long, together
+from voltrail.operators.series import LongSeries, Series, as_series, by_length, measure, together
 
 KEYS = ("vehicle",)
 
 
-def _deduplicated(battery: DataFrame, keys: Sequence[str], long: LongSeries | None) -> DataFrame:
+def _deduplicated(battery: DataFrame, keys: Sequence[str], long: LongSeries | None, ordinary: int) -> DataFrame:
     key = list(dict.fromkeys([*keys, "vehicle", "session", "msg_type", "msg"]))
-    return dedup_messages(together(battery, keys, long), key)
+    return dedup_messages(together(battery, keys, long, ordinary), key)
 
 
 def _run(battery: DataFrame, keys: Sequence[str], step: Callable[[Series], Series], null_mode: str = "compact") -> DataFrame:
     """Run a step over repaired series: ordinary vehicles whole, long ones in pieces."""
+    longest, ordinary = measure(battery, keys)
+
     def repair(rows: DataFrame, long: LongSeries | None) -> DataFrame:
-        settled = settle_soc(_deduplicated(rows, keys, long), keys, null_mode=null_mode)
+        settled = settle_soc(_deduplicated(rows, keys, long, ordinary), keys, null_mode=null_mode)
         return step(recovered(as_series(settled, keys, ORDER, long, before=1, after=RECOVER_ROWS), null_mode=null_mode)).own_rows()
-    return by_length(battery, find_long(battery, keys), repair)
+    return by_length(battery, longest, repair)
 
 
 def repaired(battery: DataFrame, keys: Sequence[str] = KEYS, null_mode: str = "compact") -> DataFrame:
